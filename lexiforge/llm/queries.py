@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiforge.llm import packing, plain_text, tokens
+from lexiforge.llm import families, fusion, packing, plain_text, tokens, truncation
 from lexiforge.runtime import cut, load
 
 
@@ -14,6 +15,33 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return roots.unionByName(affixes)
 
 
+def _fused(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    groups = load(spark, d, "allomorph_groups", "group_id", "canonical", "pos", "gloss", "gloss_src", "updated_at")
+    cards = load(spark, d, "anki_highfreq", "anki_id", "affix", "affix_type", "meaning", "gloss_src", "updated_at")
+    return [
+        ("allomorph_groups", fusion.fuse(groups, [fusion.norm_key(F.col("canonical")), F.col("pos")], "group_id", "gloss", "gloss_src", "updated_at")),
+        ("anki_highfreq", fusion.fuse(cards, [fusion.norm_key(F.col("affix")), F.col("affix_type")], "anki_id", "meaning", "gloss_src", "updated_at")),
+    ]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    (t1, a), (t2, b) = _fused(spark, d)
+    return a.select(F.lit(t1).alias("tbl"), "row_id").unionByName(b.select(F.lit(t2).alias("tbl"), "row_id"))
+
+
+def p2_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of each group with the posterior of its text, beside the text of the highest posterior."""
+    parts = [
+        f.select(F.lit(t).alias("tbl"), F.col("k.k0").alias("form"), F.col("k.k1").alias("kind"), "n", "row_id", "text", F.round("p", 6).alias("p"), "map_text", F.round("map_p", 6).alias("map_p"))
+        for t, f in _fused(spark, d)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return families.families(load(spark, d, "allomorph_groups", "group_id", "canonical", "pos", "variants", "edge_types"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(load(spark, d, "documents", "doc_id", "text"))
 
@@ -23,5 +51,14 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(load(spark, d, "documents", "doc_id", "text", "source")).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents", "doc_id", "text", "source")
+    return truncation.rates(docs, truncation.truncated(docs))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
