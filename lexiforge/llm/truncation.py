@@ -13,10 +13,10 @@ Self-join by prefix, at three grains:
   field limit there; a text that reaches the limit without a sentence end is cut.
 
 A text in markup is cut if its outermost element isn't closed. A text that ends in a replacement
-character was cut within a character.
+character was cut within a character. Where a source often ends its texts in the same kind of
+character, as flash cards end in a word, that ending alone is no sign.
 
-Defined results: null, empty and blank texts are no case; a null source is a source of its own, to
-which the limits found anywhere apply; a text that ends a sentence is whole unless a longer copy of
+Defined results: null, empty and blank texts are no case; a null source is a source of its own; a text that ends a sentence is whole unless a longer copy of
 it exists and it has ``LONG`` characters (short sentences recur by chance); rows with equal ids come
 out once; nothing but counts by source and length leaves the executors, and those stay in tables.
 """
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from lexiforge.runtime import cut
 
-#: A prefix of the corpus speaks if it begins at least so many units; an ending is odd below this share of them.
-SUPPORT, ODD = 20, 0.15
+#: A prefix of the corpus speaks if it begins at least so many other units, by level, the finest first; an ending is odd below this share of them.
+SUPPORT, ODD = (5, 5, 8, 20, 20, 20, 20, 20), 0.15
 #: A limit is a greatest length that at least so many texts of the source, and this share of them, reach.
 PILE, PILE_SHARE = 5, 0.005
 LONG = 160
 
-_UNITS = r"[\r\n]+|(?<=[.!?][\"”»'’)\]]?)[ \t]+|(?<=[。！？])"
+_UNITS = r"[\r\n]+|(?<=[.!?][\"”»'’)\]]?)[ \t]+(?=[\p{Lu}\p{Lo}\"“«„¿¡{'(])|(?<=[。！？])"
 _TOKENS = r"\p{IsHan}|[\p{L}\p{M}]+|\p{N}+|[^\p{IsWhite_Space}\p{L}\p{N}]"
 _BLANK = r"[\p{IsWhite_Space}\p{Cf}]"
 
@@ -70,9 +70,11 @@ def _levels(source: Column, unit: Column) -> Column:
     """The prefixes of a unit, the finest first."""
     tokens = F.regexp_extract_all(F.substring(unit, 1, 200), F.lit(_TOKENS), F.lit(0))
     t1, t2 = (F.regexp_replace(F.coalesce(F.get(tokens, F.lit(i)), F.lit("")), r"\p{N}+", "0") for i in (0, 1))
-    c1, c2, s = _kind(t1), _kind(t2), F.coalesce(source, F.lit("\0"))
-    prefixes = [[t1, t2], [t1], [s, c1, t2], [s, c1, c2], [c1, c2], [s]]
-    return F.array(*[F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), *p).alias("key")) for i, p in enumerate(prefixes)])
+    c1, c2, s = _kind(t1), _kind(t2), source
+    prefixes = [[s, t1, t2], [t1, t2], [s, c1, t2], [s, t1], [s, c1, c2], [c1, c2], [s, c1], [s]]
+    keys = F.array(*[F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), *p).alias("key")) for i, p in enumerate(prefixes)])
+    # a unit of one token begins all that begin with it
+    return F.when((t2 == "") & t1.rlike(r"^[\p{L}\p{N}]"), F.filter(keys, lambda k: k["level"].isin(3, 6, 7))).otherwise(keys)
 
 
 def _units(rows: DataFrame) -> DataFrame:
@@ -86,17 +88,23 @@ def odd_endings(rows: DataFrame) -> DataFrame:
     every = units.select("source", F.explode("units").alias("u"))
     every = every.select(ending(F.col("u")).alias("end"), F.explode(_levels(F.col("source"), F.col("u"))).alias("k"))
     ends = every.groupBy("k.level", "k.key", "end").agg(F.count("*").alias("n"))
-    totals = cut(ends.groupBy("level", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("end", "n"))).alias("ends")).where(F.col("all") >= SUPPORT))
-    last = units.select("_id", "source", F.try_element_at("units", F.lit(-1)).alias("u")).withColumn("end", ending(F.col("u"))).where("end != '.'")
+    totals = cut(ends.groupBy("level", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("end", "n"))).alias("ends")).where(F.col("all") > min(SUPPORT)))
+    last = units.select("_id", "source", F.try_element_at("units", F.lit(-1)).alias("u")).withColumn("end", ending(F.col("u")))
+    by_end = last.groupBy("source", "end").agg(F.count("*").alias("n"))
+    sums = by_end.groupBy("source").agg(F.sum("n").alias("all"))
+    usual = by_end.join(sums, "source").where(F.col("n") >= ODD * F.col("all")).select("source", "end")
+    last = last.where("end != '.'").join(usual, ["source", "end"], "left_anti")
     last = last.select("_id", "end", F.explode(_levels(F.col("source"), F.col("u"))).alias("k")).select("_id", "end", "k.level", "k.key")
-    seen = last.join(totals, ["level", "key"]).select("_id", "level", (F.coalesce(F.col("ends")[F.col("end")], F.lit(0)) / F.col("all")).alias("share"))
+    least = F.element_at(F.array(*[F.lit(n) for n in SUPPORT]), F.col("level") + 1)
+    seen = last.join(totals, ["level", "key"]).where(F.col("all") > least)  # itself is left out
+    seen = seen.select("_id", "level", ((F.coalesce(F.col("ends")[F.col("end")], F.lit(1)) - 1) / (F.col("all") - 1)).alias("share"))
     finest = seen.groupBy("_id").agg(F.min_by("share", "level").alias("share"))
     return finest.where(F.col("share") < ODD).select("_id")
 
 
 def limits(rows: DataFrame) -> DataFrame:
     """``source, chars, octets``: the field limit of each source that shows one, in characters or in bytes of UTF-8."""
-    sized = rows.select(F.coalesce("source", F.lit("\0")).alias("s"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("octets").alias("unit"), F.col("octets").alias("size")))).alias("m"))
+    sized = rows.select(F.col("source").alias("s"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("octets").alias("unit"), F.col("octets").alias("size")))).alias("m"))
     # the bytes of a text that was cut within a character fall up to three short of the limit
     piles = sized.groupBy("s", "m.unit", "m.size").agg(F.count("*").alias("n"))
     top = piles.groupBy("s", "unit").agg(F.max("size").alias("size"), F.sum("n").alias("all"), F.max_by("n", "size").alias("n"))
@@ -106,13 +114,11 @@ def limits(rows: DataFrame) -> DataFrame:
 
 def at_limits(rows: DataFrame) -> DataFrame:
     """``_id`` of texts that reach a limit of their source without ending a sentence."""
-    found = cut(limits(rows))
-    by_source = rows.withColumn("s", F.coalesce("source", F.lit("\0"))).where("end != '.'")
+    found = limits(rows)
+    by_source = rows.withColumn("s", F.col("source")).where("end != '.'")
     reach = (F.col("chars") == F.col("lim_chars")) | F.col("octets").between(F.col("lim_octets") - 3, F.col("lim_octets"))
     known = by_source.join(found, "s").where(F.coalesce(reach, F.lit(False)))
-    anywhere = found.select(F.col("lim_chars").alias("chars")).where("chars is not null").distinct()
-    unknown = by_source.where("source is null").join(anywhere, "chars", "left_semi")
-    return known.select("_id").unionByName(unknown.select("_id"))
+    return known.select("_id")
 
 
 def longer_copies(rows: DataFrame) -> DataFrame:
@@ -155,7 +161,7 @@ def longer_copies(rows: DataFrame) -> DataFrame:
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"))
     rows = rows.where(F.col("text").rlike(r"[^\p{IsWhite_Space}\p{Cf}]"))
     whole = F.regexp_replace("text", "�+$", "")
     rows = rows.withColumns({"chars": F.length("text"), "octets": F.octet_length(whole), "end": ending(F.col("text"))})
