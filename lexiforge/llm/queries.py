@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import families, fusion, packing, plain_text, tokens, truncation
+from lexiforge.llm import families, fusion, matching, packing, plain_text, tokens, truncation
 from lexiforge.runtime import cut, load
 
 
@@ -38,6 +38,16 @@ def p2_fused(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    roots = load(spark, d, "roots", "entry_id", "base", "meaning", "ety_meaning", "forms")
+    frequent = load(spark, d, "high_freq_affixes", "hf_id", "affix", "affix_type", "meaning")
+    return matching.match(roots, frequent, load(spark, d, "affixes", "affix_id", "roots", "meaning"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("id_a", "id_b")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return families.families(load(spark, d, "allomorph_groups", "group_id", "canonical", "pos", "variants", "edge_types"))
 
@@ -60,5 +70,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
