@@ -67,12 +67,8 @@ def _clean(item: Column) -> Column:
 
 def masked(text: Column) -> Column:
     """The text with each protected span replaced by its indexed placeholder."""
-    spans = F.regexp_extract_all(text, F.lit(SPANS), F.lit(0))
-    marked = F.transform(
-        F.split(text, SPANS, -1),
-        lambda p, i: F.when(i < F.size(spans), F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p),
-    )
-    return F.array_join(marked, "")
+    marked = F.transform(F.split(text, SPANS, -1), lambda p, i: F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE)))
+    return F.regexp_replace(F.array_join(marked, ""), f"{OPEN}[0-9]+{CLOSE}$", "")
 
 
 def restored(item: Column, spans: Column) -> Column:
@@ -89,7 +85,9 @@ def split_packed(df: DataFrame, id_col: str, text_col: str, dialect: Dialect, le
     """``row_id, item_no, item`` for each item of each field that holds at least ``least`` of them."""
     rows = df.select(F.col(id_col).alias("row_id"), _strip(F.col(text_col).cast("string")).alias("_t")).where(F.length("_t") > 0)
     rows = rows.select("row_id", F.regexp_replace("_t", r"(?s)^\[(.*)\]$", "$1").alias("_t"))
-    rows = rows.select("row_id", masked(F.col("_t")).alias("_m"), F.regexp_extract_all("_t", F.lit(SPANS), F.lit(0)).alias("_s"))
+    # generated columns are values: the optimizer cannot put their expressions into the lambdas, to run once an item
+    both = F.struct(masked(F.col("_t")).alias("_m"), F.regexp_extract_all("_t", F.lit(SPANS), F.lit(0)).alias("_s"))
+    rows = rows.select("row_id", F.inline(F.array(both)))
     items = F.transform(F.split("_m", dialect.delimiters, -1), lambda x: _clean(restored(x, F.col("_s"))))
     rows = rows.select("row_id", F.filter(items, lambda x: x != "").alias("_items")).where(F.size("_items") >= least)
     rows = rows.select("row_id", F.posexplode("_items").alias("item_no", "item"))
