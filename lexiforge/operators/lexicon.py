@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.runtime import cut, load
@@ -21,19 +21,16 @@ def ranked(df: DataFrame, order: list[Column], out: str = "frequency") -> DataFr
     """``df`` with its rank from 1 in a total order, without a single-task window.
 
     A range-partitioned sort is written once; each partition's rows are numbered by themselves and
-    shifted by the rows of the partitions before it. Only one count a partition reaches the driver.
+    shifted by the rows of the partitions before it, of which there is one count a partition.
     """
     low = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = cut(parts.withColumns({"_part": F.spark_partition_id(), "_row": low}))
-    sizes = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    shift, before = [], 0
-    for part, n in sizes:
-        shift += [F.lit(part), F.lit(before)]
-        before += n
-    if not shift:
-        return parts.select(*df.columns, F.lit(None).cast("bigint").alias(out))
-    return parts.select(*df.columns, (F.create_map(*shift)[F.col("_part")] + F.col("_row") + 1).cast("bigint").alias(out))
+    # one row a partition: a bounded window and a bounded broadcast, whatever the data
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))
+    shift = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(shift), "_part").select(*df.columns, (F.col("_before") + F.col("_row") + 1).cast("bigint").alias(out))
 
 
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
