@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.runtime import cut
+
 MAX_DEPTH = 900
 NODE_SCHEMA = "rid bigint, entry_id {id_type}, kind string, pre bigint, post bigint, level int, name string, opt bigint, n bigint"
 
@@ -187,7 +189,8 @@ def examples_table(links: DataFrame) -> DataFrame:
 
 def form_positions(df: DataFrame, id_col: str = "entry_id", json_col: str = "forms") -> DataFrame:
     """``entry_id, parent_form, form, opt, pos``: each position of each form; ``pos`` is ``''`` for a form with none."""
-    links = linked(nodes(df, id_col, json_col).where(F.col("kind").isin("form", "pos")))
+    # written once, as both tables below must see the same numbers of records
+    links = linked(cut(nodes(df, id_col, json_col).where(F.col("kind").isin("form", "pos"))))
     forms = forms_table(links).select("rid", "entry_id", "pre", "parent_form", "form", "opt")
     positions = positions_table(links).select("rid", F.col("form_pre").alias("pre"), "pos")
     joined = forms.join(positions, ["rid", "pre"], "left")

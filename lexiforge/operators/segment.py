@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from lexiforge.functions import strings
 from lexiforge.operators import nested_records as nested
+from lexiforge.runtime import cut
 
 GAP_COST, SEG_COST = 1.0, 2.0
 MAX_FORM = 24
@@ -30,7 +31,7 @@ RESULT = T.StructType([T.StructField("stage1", T.StringType()), T.StructField("p
 
 def root_forms(roots: DataFrame, affixes: DataFrame) -> DataFrame:
     """``form, base, opt, pos, meaning, lang, src, ord``: forms nested in root entries and forms of the affix list."""
-    links = nested.linked(nested.nodes(roots.select("entry_id", "forms")).where("kind in ('form', 'pos')"))
+    links = nested.linked(cut(nested.nodes(roots.select("entry_id", "forms")).where("kind in ('form', 'pos')")))
     pos = nested.positions_table(links).groupBy("rid", F.col("form_pre").alias("pre")).agg(F.array_sort(F.collect_set("pos")).alias("pos"))
     found = nested.forms_table(links).join(pos, ["rid", "pre"], "left").select("entry_id", F.lower("form").alias("form"), (F.col("opt") == 1).alias("opt"), "pos")
     info = roots.select("entry_id", F.lower("base").alias("base"), strings.chosen_meaning(F.col("ety_meaning"), F.col("meaning")).alias("meaning"), F.coalesce("ety_lang", "lang").alias("lang"))
