@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.runtime import cut
@@ -66,11 +66,16 @@ def ending(text: Column) -> Column:
     )
 
 
-def _levels(source: Column, unit: Column) -> Column:
-    """The prefixes of a unit, the finest first."""
-    tokens = F.regexp_extract_all(F.substring(unit, 1, 200), F.lit(_TOKENS), F.lit(0))
-    t1, t2 = (F.regexp_replace(F.coalesce(F.get(tokens, F.lit(i)), F.lit("")), r"\p{N}+", "0") for i in (0, 1))
-    c1, c2, s = _kind(t1), _kind(t2), source
+def _first_tokens(unit: Column) -> list[Column]:
+    """The first two tokens of a unit, numbers as ``0``."""
+    begin = rf"^\p{{IsWhite_Space}}*+({_TOKENS})\p{{IsWhite_Space}}*+({_TOKENS})?+"
+    return [F.regexp_replace(F.regexp_extract(unit, begin, i), r"\p{N}+", "0").alias(f"t{i}") for i in (1, 2)]
+
+
+def _levels() -> Column:
+    """The prefixes of a unit ``source, t1, t2``, the finest first."""
+    t1, t2, s = F.col("t1"), F.col("t2"), F.col("source")
+    c1, c2 = _kind(t1), _kind(t2)
     prefixes = [[s, t1, t2], [t1, t2], [s, c1, t2], [s, t1], [s, c1, c2], [c1, c2], [s, c1], [s]]
     keys = F.array(*[F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), *p).alias("key")) for i, p in enumerate(prefixes)])
     # a unit of one token begins all that begin with it
@@ -85,16 +90,17 @@ def _units(rows: DataFrame) -> DataFrame:
 def odd_endings(rows: DataFrame) -> DataFrame:
     """``_id`` of texts whose last unit only begins what longer units with the same prefix go on to say."""
     units = _units(rows)
-    every = units.select("source", F.explode("units").alias("u"))
-    every = every.select(ending(F.col("u")).alias("end"), F.explode(_levels(F.col("source"), F.col("u"))).alias("k"))
-    ends = every.groupBy("k.level", "k.key", "end").agg(F.count("*").alias("n"))
+    every = units.select("source", F.explode("units").alias("u")).select("source", *_first_tokens(F.col("u")), ending(F.col("u")).alias("end"))
+    every = every.groupBy("source", "t1", "t2", "end").agg(F.count("*").alias("n"))  # equal beginnings as one, before they multiply
+    ends = every.select("end", "n", F.explode(_levels()).alias("k")).groupBy("k.level", "k.key", "end").agg(F.sum("n").alias("n"))
     totals = cut(ends.groupBy("level", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("end", "n"))).alias("ends")).where(F.col("all") > min(SUPPORT)))
     last = units.select("_id", "source", F.try_element_at("units", F.lit(-1)).alias("u")).withColumn("end", ending(F.col("u")))
     by_end = last.groupBy("source", "end").agg(F.count("*").alias("n"))
     sums = by_end.groupBy("source").agg(F.sum("n").alias("all"))
     usual = by_end.join(sums, "source").where(F.col("n") >= ODD * F.col("all")).select("source", "end")
     last = last.where("end != '.'").join(usual, ["source", "end"], "left_anti")
-    last = last.select("_id", "end", F.explode(_levels(F.col("source"), F.col("u"))).alias("k")).select("_id", "end", "k.level", "k.key")
+    last = last.select("_id", "end", "source", *_first_tokens(F.col("u")))
+    last = last.select("_id", "end", F.explode(_levels()).alias("k")).select("_id", "end", "k.level", "k.key")
     least = F.element_at(F.array(*[F.lit(n) for n in SUPPORT]), F.col("level") + 1)
     seen = last.join(totals, ["level", "key"]).where(F.col("all") > least)  # itself is left out
     seen = seen.select("_id", "level", ((F.coalesce(F.col("ends")[F.col("end")], F.lit(1)) - 1) / (F.col("all") - 1)).alias("share"))
@@ -151,13 +157,9 @@ def longer_copies(rows: DataFrame) -> DataFrame:
     # empty partitions leave gaps in the numbers: the k-th seam is between the k-th and the next partition that holds texts
     firsts = found.where("kind = 'first'").select("part", F.col("text").alias("next_text"))
     lasts = found.where("kind = 'last'").select("part", "text")
-    numbers = sorted(r["part"] for r in lasts.select("part").collect())
-    follows = {a: b for a, b in zip(numbers, numbers[1:])}
-    if follows:
-        step = F.create_map(*[F.lit(x) for kv in follows.items() for x in kv])
-        seams = lasts.withColumn("part", step[F.col("part")]).join(firsts, "part").where(F.col("next_text").startswith(F.col("text")))
-        hits = hits.unionByName(seams.select("text", F.length("next_text").cast("bigint").alias("longer_chars")))
-    return hits
+    following = lasts.select("part", F.lead("part").over(Window.orderBy("part")).alias("after")).where("after is not null")  # one row a partition
+    seams = lasts.join(following, "part").join(firsts.withColumnRenamed("part", "after"), "after").where(F.col("next_text").startswith(F.col("text")))
+    return hits.unionByName(seams.select("text", F.length("next_text").cast("bigint").alias("longer_chars")))
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
