@@ -17,7 +17,8 @@ character was cut within a character. Where a source often ends its texts in the
 character, as flash cards end in a word, that ending alone is no sign.
 
 Defined results: null, empty and blank texts are no case; a null source is a source of its own; a text that ends a sentence is whole unless a longer copy of
-it exists and it has ``LONG`` characters (short sentences recur by chance); rows with equal ids come
+it exists and it has ``LONG`` characters (short sentences recur by chance); final dots are no sentence end: at a limit they
+stand for the rest, elsewhere the text without them must begin a longer copy or an odd unit; rows with equal ids come
 out once; nothing but counts by source and length leaves the executors, and those stay in tables.
 """
 
@@ -36,10 +37,13 @@ SUPPORT, ODD = (5, 5, 8, 20, 20, 20, 20, 20), 0.15
 #: A limit is a greatest length that at least so many texts of the source, and this share of them, reach.
 PILE, PILE_SHARE = 5, 0.005
 LONG = 160
+#: Texts also trail off in dots on purpose, so only prefixes of two tokens, up to this level, speak about dots.
+DOTTED = 1
 
 _UNITS = r"[\r\n]+|(?<=[.!?][\"”»'’)\]]?)[ \t]+(?=[\p{Lu}\p{Lo}\"“«„¿¡{'(])|(?<=[。！？])"
 _TOKENS = r"\p{IsHan}|[\p{L}\p{M}]+|\p{N}+|[^\p{IsWhite_Space}\p{L}\p{N}]"
 _BLANK = r"[\p{IsWhite_Space}\p{Cf}]"
+_DOTS = rf"(?:\.{{3,}}|…+){_BLANK}*+$"
 
 
 def _kind(token: Column) -> Column:
@@ -54,10 +58,11 @@ def _kind(token: Column) -> Column:
 
 
 def ending(text: Column) -> Column:
-    """How a text ends: ``.`` for any sentence end, with closing quotes or brackets after it or not, else the kind of its last character."""
+    """How a text ends: ``…`` for final dots, ``.`` for any other sentence end, with closing quotes or brackets after it or not, else the kind of its last character."""
     last = F.regexp_extract(text, rf"(\X){_BLANK}*+$", 1)
     return (
-        F.when(text.rlike(rf"[.!?。！？][\"”»'’)\]」』]*{_BLANK}*+$"), ".")
+        F.when(text.rlike(_DOTS), "…")
+        .when(text.rlike(rf"[.!?。！？][\"”»'’)\]」』]*{_BLANK}*+$"), ".")
         .when(last.rlike(r"^\p{IsHan}"), "h")
         .when(last.rlike(r"^[\p{L}\p{M}]"), "a")
         .when(last.rlike(r"^\p{N}"), "0")
@@ -101,6 +106,7 @@ def odd_endings(rows: DataFrame) -> DataFrame:
     last = last.where("end != '.'").join(usual, ["source", "end"], "left_anti")
     last = last.select("_id", "end", "source", *_first_tokens(F.col("u")))
     last = last.select("_id", "end", F.explode(_levels()).alias("k")).select("_id", "end", "k.level", "k.key")
+    last = last.where((F.col("end") != "…") | (F.col("level") <= DOTTED))
     least = F.element_at(F.array(*[F.lit(n) for n in SUPPORT]), F.col("level") + 1)
     seen = last.join(totals, ["level", "key"]).where(F.col("all") > least)  # itself is left out
     seen = seen.select("_id", "level", ((F.coalesce(F.col("ends")[F.col("end")], F.lit(1)) - 1) / (F.col("all") - 1)).alias("share"))
@@ -128,38 +134,48 @@ def at_limits(rows: DataFrame) -> DataFrame:
 
 
 def longer_copies(rows: DataFrame) -> DataFrame:
-    """``text, longer_chars`` of every distinct text that is a strict prefix of another one.
+    """``text, longer_chars, on`` of every distinct text that is a strict prefix of another one.
 
     Sorted, all texts that begin with a text follow it at once, so only neighbours are compared. A
-    partition passes on its first and last text; the seams are joined by partition number.
+    partition passes on its first and last text; the seams are joined by partition number. ``on``: the
+    longer one goes on in letters or digits, not in marks alone; that is looked for beyond the neighbour only
+    for texts ``dotted`` (if ``rows`` has it), which ended in dots that were taken off.
     """
-    texts = rows.select("text").distinct()
-    ordered = texts.repartitionByRange(F.col("text")).sortWithinPartitions("text").select("text", F.spark_partition_id().alias("part"))
+    dotted = F.col("dotted") if "dotted" in rows.columns else F.lit(False)
+    texts = rows.groupBy("text").agg(F.max(dotted).alias("dotted"))
+    ordered = texts.repartitionByRange(F.col("text")).sortWithinPartitions("text").select("text", "dotted", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, part, first = None, None, None
-        schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("text", pa.string()), ("longer_chars", pa.int64())])
+        before, part, first, was_dotted, waiting = None, None, None, False, []
+        schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("text", pa.string()), ("longer_chars", pa.int64()), ("on", pa.bool_())])
         for batch in batches:
             hits = []
-            for text, part in zip(batch["text"].to_pylist(), batch["part"].to_pylist()):
+            for text, dotted, part in zip(batch["text"].to_pylist(), batch["dotted"].to_pylist(), batch["part"].to_pylist()):
+                if was_dotted:
+                    waiting.append(before)
+                waiting = [w for w in waiting if text.startswith(w)]
+                for w in [w for w in waiting if any(map(str.isalnum, text[len(w) :]))]:
+                    waiting.remove(w)
+                    hits.append({"kind": "hit", "part": part, "text": w, "longer_chars": len(text), "on": True})
                 if before is not None and text.startswith(before):
-                    hits.append({"kind": "hit", "part": part, "text": before, "longer_chars": len(text)})
+                    hits.append({"kind": "hit", "part": part, "text": before, "longer_chars": len(text), "on": any(map(str.isalnum, text[len(before) :]))})
                 first = text if first is None else first
-                before = text
+                before, was_dotted = text, dotted
             if hits:
                 yield pa.RecordBatch.from_pylist(hits, schema=schema)
         if before is not None:
-            ends = [{"kind": k, "part": part, "text": t, "longer_chars": 0} for k, t in (("first", first), ("last", before))]
+            ends = [{"kind": k, "part": part, "text": t, "longer_chars": 0, "on": False} for k, t in [("first", first), ("last", before), *(("last", w) for w in waiting)]]
             yield pa.RecordBatch.from_pylist(ends, schema=schema)
 
-    found = cut(ordered.mapInArrow(run, "kind string, part int, text string, longer_chars bigint"))
-    hits = found.where("kind = 'hit'").select("text", "longer_chars")
+    found = cut(ordered.mapInArrow(run, "kind string, part int, text string, longer_chars bigint, on boolean"))
+    hits = found.where("kind = 'hit'").select("text", "longer_chars", "on")
     # empty partitions leave gaps in the numbers: the k-th seam is between the k-th and the next partition that holds texts
     firsts = found.where("kind = 'first'").select("part", F.col("text").alias("next_text"))
     lasts = found.where("kind = 'last'").select("part", "text")
-    following = lasts.select("part", F.lead("part").over(Window.orderBy("part")).alias("after")).where("after is not null")  # one row a partition
+    following = firsts.select("part", F.lead("part").over(Window.orderBy("part")).alias("after")).where("after is not null")  # one row a partition
     seams = lasts.join(following, "part").join(firsts.withColumnRenamed("part", "after"), "after").where(F.col("next_text").startswith(F.col("text")))
-    return hits.unionByName(seams.select("text", F.length("next_text").cast("bigint").alias("longer_chars")))
+    on = F.expr("substring(next_text, length(text) + 1)").rlike(r"[\p{L}\p{N}]")
+    return hits.unionByName(seams.select("text", F.length("next_text").cast("bigint").alias("longer_chars"), on.alias("on")))
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -176,8 +192,13 @@ def truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     prose, markup = rows.where("markup = ''"), rows.where("markup != ''")
     opened = F.regexp_count("text", F.concat(F.lit("<"), "markup", F.lit("[ >/]")))
     closed = F.regexp_count("text", F.concat(F.lit("</"), "markup", F.lit(">")))
-    copies = longer_copies(rows).select(F.xxhash64("text").alias("h"), F.length("text").alias("chars")).distinct()
-    copied = rows.where((F.col("end") != ".") | (F.col("chars") >= LONG)).withColumn("h", F.xxhash64("text")).join(copies, ["h", "chars"], "left_semi")
+    # dots in place of the rest are no part of the copy: without them the text must go on, and a text that only lacks the dots is cut as well
+    dotted = F.col("end") == "…"
+    bare = rows.select("_id", "end", "chars", F.when(dotted, F.regexp_replace("text", rf"{_BLANK}*+{_DOTS}", "")).otherwise(F.col("text")).alias("text"), dotted.alias("dotted")).where("text != ''")
+    copies = longer_copies(bare).select("text", F.col("on").alias("dotted")).unionByName(bare.where("dotted").select("text", F.lit(False).alias("dotted")))
+    copies = copies.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("size")).agg(F.max("dotted").alias("on"))
+    copied = bare.where((F.col("end") != ".") | (F.col("chars") >= LONG)).select("_id", "dotted", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    copied = copied.join(copies, ["h", "size"]).where("on or not dotted")
     cases = [
         ("1 character", rows.where(F.col("text").rlike("�$"))),
         ("2 markup", markup.where((opened > closed) | F.col("text").rlike("<[^>]*$"))),

@@ -118,3 +118,18 @@ def test_truncation(spark):
     shares = {r.source: r for r in truncation.rates(df, truncation.truncated(df)).collect()}
     assert shares["limited"].cut == 30 and shares["limited"].documents == 40
     assert truncation.truncated(df.limit(0)).count() == 0
+
+
+def test_dots_that_stand_for_the_rest(spark):
+    rng = __import__("random").Random(5)
+    word = lambda: "".join(rng.choice("bdeglmnorst") for _ in range(rng.randint(4, 9)))
+    prose = lambda n: " ".join(f"The {word()} of {word()} was long." for _ in range(n))
+    whole = [prose(rng.randint(2, 4))[:180].rsplit(".", 1)[0] + "." for _ in range(100)]
+    rows = [(i, t, "sync") for i, t in enumerate(whole)]
+    rows += [(200 + i, prose(12)[:197] + ("..." if i % 2 else "…  "), "sync") for i in range(12)]
+    rows += [(300 + i, f"{whole[i]} And so it goes on...", "feed") for i in range(20)]
+    rows += [(400, whole[50][:33] + "...", "feed"), (401, "Well, we all went home.", "feed"), (402, "Well, we all went home...", "feed"), (403, "...", "feed"), (404, whole[51][:-1] + "...", "feed")]
+    rows += [(405, "Some say it was li...", "feed"), (406, "Some say it was li", "feed"), (407, "Some say it was li!", "feed"), (408, "Some say it was lifted up.", "feed")]
+    got = {r.doc_id: r.why for r in truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {i for i in got if 200 <= i < 300} == set(range(200, 212))
+    assert {i for i in got if i < 200 or i >= 300} == {400, 405, 406}
