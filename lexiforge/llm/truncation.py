@@ -13,8 +13,7 @@ Self-join by prefix, at three grains:
   field limit there; a text that reaches the limit without a sentence end is cut.
 
 A text in markup is cut if its outermost element isn't closed. A text that ends in a replacement
-character was cut within a character. Where a source often ends its texts in the same kind of
-character, as flash cards end in a word, that ending alone is no sign.
+character was cut within a character. What is usual, as flash cards end in a word, inner units tell.
 
 Defined results: null, empty and blank texts are no case; a null source is a source of its own; a text that ends a sentence is whole unless a longer copy of
 it exists and it has ``LONG`` characters (short sentences recur by chance); final dots are no sentence end: at a limit they
@@ -37,6 +36,10 @@ SUPPORT, ODD = (5, 5, 8, 20, 20, 20, 20, 20), 0.15
 #: A limit is a greatest length that at least so many texts of the source, and this share of them, reach.
 PILE, PILE_SHARE = 5, 0.005
 LONG = 160
+#: An ending that this share of the inner units of a source have is no sign there; a source with next to no inner units is judged by its last ones, from ``ODD`` on.
+USUAL = 0.05
+#: Where no inner unit has a prefix, an ending is usual if this share of the last units with it have it.
+MOST = 0.5
 #: Texts also trail off in dots on purpose, so only prefixes of two tokens, up to this level, speak about dots.
 DOTTED = 1
 
@@ -61,7 +64,7 @@ def ending(text: Column) -> Column:
     """How a text ends: ``…`` for final dots, ``.`` for any other sentence end, with closing quotes or brackets after it or not, else the kind of its last character."""
     last = F.regexp_extract(text, rf"(\X){_BLANK}*+$", 1)
     return (
-        F.when(text.rlike(_DOTS), "…")
+        F.when(text.contains("...") & text.rlike(_DOTS), "…")
         .when(text.rlike(rf"[.!?。！？][\"”»'’)\]」』]*{_BLANK}*+$"), ".")
         .when(last.rlike(r"^\p{IsHan}"), "h")
         .when(last.rlike(r"^[\p{L}\p{M}]"), "a")
@@ -93,25 +96,36 @@ def _units(rows: DataFrame) -> DataFrame:
 
 
 def odd_endings(rows: DataFrame) -> DataFrame:
-    """``_id`` of texts whose last unit only begins what longer units with the same prefix go on to say."""
+    """``_id`` of texts whose last unit only begins what longer units with the same prefix go on to say.
+
+    Inner units aren't cut, so they say what is usual, however many texts of the source are cut. Last units
+    are heard only where they share a finer prefix than inner ones do (footers, cards), and then most of them must end alike.
+    """
     units = _units(rows)
-    every = units.select("source", F.explode("units").alias("u")).select("source", *_first_tokens(F.col("u")), ending(F.col("u")).alias("end"))
-    every = every.groupBy("source", "t1", "t2", "end").agg(F.count("*").alias("n"))  # equal beginnings as one, before they multiply
-    ends = every.select("end", "n", F.explode(_levels()).alias("k")).groupBy("k.level", "k.key", "end").agg(F.sum("n").alias("n"))
-    totals = cut(ends.groupBy("level", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("end", "n"))).alias("ends")).where(F.col("all") > min(SUPPORT)))
-    last = units.select("_id", "source", F.try_element_at("units", F.lit(-1)).alias("u")).withColumn("end", ending(F.col("u")))
-    by_end = last.groupBy("source", "end").agg(F.count("*").alias("n"))
-    sums = by_end.groupBy("source").agg(F.sum("n").alias("all"))
-    usual = by_end.join(sums, "source").where(F.col("n") >= ODD * F.col("all")).select("source", "end")
-    last = last.where("end != '.'").join(usual, ["source", "end"], "left_anti")
+    every = units.select("source", F.size("units").alias("of"), F.posexplode("units").alias("i", "u"))
+    every = every.select("source", *_first_tokens(F.col("u")), ending(F.col("u")).alias("end"), (F.col("i") + 1 == F.col("of")).alias("last"))
+    every = every.groupBy("source", "t1", "t2", "end").agg(F.count_if(~F.col("last")).alias("n"), F.count_if("last").alias("m"))  # equal beginnings as one, before they multiply
+    ends = every.select("end", "n", "m", F.explode(_levels()).alias("k")).groupBy("k.level", "k.key", "end").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    by_key = ends.groupBy("level", "key").agg(F.sum("n").alias("inner"), F.sum("m").alias("final"), F.map_from_entries(F.collect_list(F.struct("end", F.struct("n", "m")))).alias("ends"))
+    totals = cut(by_key.where((F.col("inner") >= min(SUPPORT)) | (F.col("final") > min(SUPPORT))))
+    by_end = ends.where("level = 7")  # by source alone
+    source = by_end.groupBy("key").agg(F.sum("n").alias("inner"), F.sum("m").alias("final"))
+    told = F.when(F.col("inner") >= SUPPORT[-1], F.col("n") >= USUAL * F.col("inner")).otherwise(F.col("m") >= ODD * F.col("final"))
+    usual = by_end.join(source, "key").where(told).select("key", "end")
+    last = units.select("_id", "source", F.try_element_at("units", F.lit(-1)).alias("u")).withColumn("end", ending(F.col("u"))).where("end != '.'")
+    last = last.withColumn("key", F.xxhash64(F.lit(7), "source")).join(usual, ["key", "end"], "left_anti")
     last = last.select("_id", "end", "source", *_first_tokens(F.col("u")))
     last = last.select("_id", "end", F.explode(_levels()).alias("k")).select("_id", "end", "k.level", "k.key")
     last = last.where((F.col("end") != "…") | (F.col("level") <= DOTTED))
     least = F.element_at(F.array(*[F.lit(n) for n in SUPPORT]), F.col("level") + 1)
-    seen = last.join(totals, ["level", "key"]).where(F.col("all") > least)  # itself is left out
-    seen = seen.select("_id", "level", ((F.coalesce(F.col("ends")[F.col("end")], F.lit(1)) - 1) / (F.col("all") - 1)).alias("share"))
-    finest = seen.groupBy("_id").agg(F.min_by("share", "level").alias("share"))
-    return finest.where(F.col("share") < ODD).select("_id")
+    own = F.col("ends")[F.col("end")]
+    seen = last.join(totals, ["level", "key"])
+    inner, final = F.col("inner") >= least, F.col("final") > least  # itself is one of the final ones and left out
+    seen = seen.select("_id", "level", F.when(inner, F.coalesce(own["n"], F.lit(0)) / F.col("inner")).alias("inner"), F.when(final, (F.coalesce(own["m"], F.lit(1)) - 1) / (F.col("final") - 1)).alias("final"))
+    at = lambda name: F.when(F.col(name).isNotNull(), F.col("level"))
+    finest = seen.groupBy("_id").agg(F.min_by("inner", at("inner")).alias("inner"), F.min(at("inner")).alias("li"), F.min_by("final", at("final")).alias("final"), F.min(at("final")).alias("lf"))
+    mostly = F.coalesce((F.col("lf") < F.col("li")) & (F.col("final") >= MOST), F.lit(False))
+    return finest.where((F.col("inner") < ODD) & ~mostly).select("_id")
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -193,11 +207,11 @@ def truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     opened = F.regexp_count("text", F.concat(F.lit("<"), "markup", F.lit("[ >/]")))
     closed = F.regexp_count("text", F.concat(F.lit("</"), "markup", F.lit(">")))
     # dots in place of the rest are no part of the copy: without them the text must go on, and a text that only lacks the dots is cut as well
-    dotted = F.col("end") == "…"
+    dotted = (F.col("text").contains("...") | F.col("text").contains("…")) & F.col("text").rlike(_DOTS)
     bare = rows.select("_id", "end", "chars", F.when(dotted, F.regexp_replace("text", rf"{_BLANK}*+{_DOTS}", "")).otherwise(F.col("text")).alias("text"), dotted.alias("dotted")).where("text != ''")
     copies = longer_copies(bare).select("text", F.col("on").alias("dotted")).unionByName(bare.where("dotted").select("text", F.lit(False).alias("dotted")))
     copies = copies.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("size")).agg(F.max("dotted").alias("on"))
-    copied = bare.where((F.col("end") != ".") | (F.col("chars") >= LONG)).select("_id", "dotted", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    copied = bare.where((F.col("chars") >= LONG) | (F.col("end") != ".")).select("_id", "dotted", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
     copied = copied.join(copies, ["h", "size"]).where("on or not dotted")
     cases = [
         ("1 character", rows.where(F.col("text").rlike("�$"))),

@@ -133,3 +133,14 @@ def test_dots_that_stand_for_the_rest(spark):
     got = {r.doc_id: r.why for r in truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert {i for i in got if 200 <= i < 300} == set(range(200, 212))
     assert {i for i in got if i < 200 or i >= 300} == {400, 405, 406}
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_frequent_truncation_is_not_usual(spark, share):
+    rng = __import__("random").Random(11)
+    word = lambda: "".join(rng.choice("bdeglmnorst") for _ in range(rng.randint(4, 9)))
+    texts = [" ".join(f"The {word()} of {word()} was long." for _ in range(rng.randint(2, 6))) for _ in range(200)]
+    rows = [(i, t[: -rng.randint(4, 12)] if i < 200 * share else t, "prose") for i, t in enumerate(texts)]
+    rows += [(1000 + i, f"The {word()} was a {word()}. {texts[i]}\nTags: {word()}", "tagged") for i in range(60)] + [(2000 + i, f"{word()}\n{word()}, {word()}", "cards") for i in range(60)]
+    got = {r.doc_id: r.why for r in truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert set(got) == set(range(int(200 * share)))
