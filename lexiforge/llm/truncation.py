@@ -9,8 +9,9 @@ Self-join by prefix, at three grains:
   of a fixed-length prefix, two tokens, backing off to coarser ones where it is rare. If the longer
   units that begin alike end in another way (``The ... .`` against ``The anvil was che``) the last unit
   is only the beginning of one. A footer such as ``Tags: ...`` never goes on elsewhere, so it is none;
-* *lengths*: a source whose longest texts pile up at one length, in characters or in bytes, has a
-  field limit there; a text that reaches the limit without a sentence end is cut.
+* *lengths*: a source whose unfinished texts pile up at a length, in characters or in bytes, has a
+  field limit there, and it may have several; what is left over is pooled over the sources. A text that
+  reaches a limit without a sentence end is cut.
 
 A text in markup is cut if its outermost element isn't closed. A text that ends in a replacement
 character was cut within a character. What is usual, as flash cards end in a word, inner units tell.
@@ -33,8 +34,8 @@ from lexiforge.runtime import cut
 
 #: A prefix of the corpus speaks if it begins at least so many other units, by level, the finest first; an ending is odd below this share of them.
 SUPPORT, ODD = (5, 5, 8, 20, 20, 20, 20, 20), 0.15
-#: A limit is a greatest length that at least so many texts of the source, and this share of them, reach.
-PILE, PILE_SHARE = 5, 0.005
+#: A limit is a length that at least so many unfinished texts have, far more than any of so many lengths on either side.
+PILE, BESIDE = 5, 10
 LONG = 160
 #: An ending that this share of the inner units of a source have is no sign there; a source with next to no inner units is judged by its last ones, from ``ODD`` on.
 USUAL = 0.05
@@ -128,23 +129,42 @@ def odd_endings(rows: DataFrame) -> DataFrame:
     return finest.where((F.col("inner") < ODD) & ~mostly).select("_id")
 
 
-def limits(rows: DataFrame) -> DataFrame:
-    """``source, chars, octets``: the field limit of each source that shows one, in characters or in bytes of UTF-8."""
-    sized = rows.select(F.col("source").alias("s"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("octets").alias("unit"), F.col("octets").alias("size")))).alias("m"))
+def _unfinished(rows: DataFrame) -> DataFrame:
+    """Texts without a sentence end, but for markup whose outermost element is closed."""
+    return rows.where((F.col("end") != ".") & ((F.col("markup") == "") | ~F.col("text").rlike(rf"</[^<>]*>{_BLANK}*+$")))
+
+
+def _piles(sized: DataFrame) -> DataFrame:
+    """``s, unit, size`` of the sizes that stand out against those beside them; ``h`` tells equal texts."""
+    counts = sized.groupBy("s", "unit", "size").agg(F.count_distinct("h").alias("n"))
+    by_size = Window.partitionBy("s", "unit").orderBy("size")  # one row a length
     # the bytes of a text that was cut within a character fall up to three short of the limit
-    piles = sized.groupBy("s", "m.unit", "m.size").agg(F.count("*").alias("n"))
-    top = piles.groupBy("s", "unit").agg(F.max("size").alias("size"), F.sum("n").alias("all"), F.max_by("n", "size").alias("n"))
-    real = top.where((F.col("n") >= PILE) & (F.col("n") >= PILE_SHARE * F.col("all")))
-    return real.groupBy("s").agg(F.max(F.when(F.col("unit") == "chars", F.col("size"))).alias("lim_chars"), F.max(F.when(F.col("unit") == "octets", F.col("size"))).alias("lim_octets"))
+    beside = F.greatest(*[F.coalesce(F.sum("n").over(by_size.rangeBetween(i, i + BESIDE - 1)), F.lit(0)) for i in (-3 - BESIDE, 1)]) / BESIDE
+    return counts.withColumn("beside", beside).where(F.col("n") >= PILE - 1 + F.greatest(F.lit(1.0), F.col("beside") + 6 * F.sqrt("beside"))).select("s", "unit", "size")
+
+
+def limits(rows: DataFrame) -> DataFrame:
+    """``s, unit, size``: the field limits, in characters or in bytes of UTF-8, of each source, and of all (``*``) where those left over pile up.
+
+    Only texts that end in no sentence end and no closing bracket are counted, and bytes only of texts with longer characters.
+    A limit of any source is one of the rows without a source.
+    """
+    open_end = _unfinished(rows).where(~F.col("end").isin("]", ")", "}", ">"))
+    sizes = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("octets").alias("unit"), F.when(F.col("octets") > F.col("chars"), F.col("octets")).alias("size")))
+    sized = cut(open_end.select(F.col("source").alias("s"), F.xxhash64("text").alias("h"), F.explode(sizes).alias("m")).select("s", "h", "m.unit", "m.size").where("size is not null"))
+    own = _piles(sized)
+    told = sized.join(own, ["s", "unit", "size"], "left_semi").select("s", "h")  # texts of one length in characters crowd in bytes, too
+    left = sized.join(told, ["s", "h"], "left_anti").withColumn("s", F.lit("*"))
+    found = cut(own.unionByName(_piles(left)))
+    return found.unionByName(found.withColumn("s", F.lit("\0"))).distinct()
 
 
 def at_limits(rows: DataFrame) -> DataFrame:
-    """``_id`` of texts that reach a limit of their source without ending a sentence."""
-    found = limits(rows)
-    by_source = rows.withColumn("s", F.col("source")).where("end != '.'")
-    reach = (F.col("chars") == F.col("lim_chars")) | F.col("octets").between(F.col("lim_octets") - 3, F.col("lim_octets"))
-    known = by_source.join(found, "s").where(F.coalesce(reach, F.lit(False)))
-    return known.select("_id")
+    """``_id`` of texts that reach a limit of their source, or of all, without ending a sentence."""
+    reach = [("chars", F.col("chars"))] + [("octets", F.col("octets") + i) for i in range(4)]
+    keys = F.array(*[F.struct(s.alias("s"), F.lit(unit).alias("unit"), size.alias("size")) for s in (F.col("source"), F.lit("*")) for unit, size in reach])
+    known = _unfinished(rows).select("_id", F.explode(keys).alias("k")).select("_id", "k.s", "k.unit", "k.size")
+    return known.join(limits(rows), ["s", "unit", "size"], "left_semi").select("_id")
 
 
 def longer_copies(rows: DataFrame) -> DataFrame:

@@ -144,3 +144,20 @@ def test_frequent_truncation_is_not_usual(spark, share):
     rows += [(1000 + i, f"The {word()} was a {word()}. {texts[i]}\nTags: {word()}", "tagged") for i in range(60)] + [(2000 + i, f"{word()}\n{word()}, {word()}", "cards") for i in range(60)]
     got = {r.doc_id: r.why for r in truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert set(got) == set(range(int(200 * share)))
+
+
+def test_limits_beside_longer_texts(spark):
+    rng = __import__("random").Random(13)
+    word = lambda: "".join(rng.choice("bdeglmnorst") for _ in range(rng.randint(4, 9)))
+    prose = lambda n: " ".join(f"The {word()} of {word()} was long." for _ in range(n))
+    at = lambda n, head="": (head + prose(20))[: n - 1] + "x"
+    rows = [(i, prose(rng.randint(2, 12)), "old" if i % 2 else f"s{i % 10}") for i in range(600)] + [(999, prose(40), "old")]
+    rows += [(1000 + i, at(120 if i % 2 else 200), "old") for i in range(20)]  # two limits, longer texts stand beside
+    rows += [(1100 + i, at(150), f"s{i}") for i in range(0, 10, 2)]  # one of each source
+    rows += [(1200 + i, at(n), None) for i, n in enumerate((120, 150, 200))]
+    rows += [(1300 + i, "é" * 9 + at(141), "bytes") for i in range(12)] + [(1400, "é" * 9 + at(140), "bytes")]
+    docs = truncation.prepare(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source")
+    known = {(r.s, r.unit, r.size) for r in truncation.limits(docs).collect() if r.s != "\0"}
+    assert {("old", "chars", 120), ("old", "chars", 200), ("*", "chars", 150), ("bytes", "octets", 159)} <= known
+    got = {r._id for r in truncation.at_limits(docs).collect()}
+    assert got == {i for i, *_ in rows if i >= 1000}
