@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
@@ -19,6 +21,7 @@ def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
@@ -31,10 +34,20 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's ``spark.checkpoint.dir``, or one of our own only where that is unset."""
+    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder, which goes when the process ends; on a cluster executors
+    could not share it, so there the setting is required.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="lexiforge-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -44,5 +57,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_stable_order(df: DataFrame, *keys: str) -> DataFrame:
-    return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a table in columns: for what is read several times, a few columns each."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
