@@ -86,11 +86,34 @@ def test_packing_in_spark(spark):
     assert {r.doc_id for r in big.collect()} == {2**60 + 1, None}
 
 
-def test_longer_copies_equal_brute_force(spark):
-    texts = ["a", "ab", "abc", "b", "bcd", "bcd", "zz", "ab c", "é", "éx", "x" * 5000, "x" * 5001, "𐐷a", "𐐷", "￿"]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    got = {r.text for r in truncation.longer_copies(rows).collect()}
-    assert got == {a for a in texts if any(b != a and b.startswith(a) for b in texts)}
+def test_begun_values_equal_brute_force(spark):
+    texts = ["a", "ab", "abc", "b", "bcd", "bcd", "b.", "b..", "zz", "ab c", "é", "éx", "x" * 5000, "x" * 5001, "𐐷a", "𐐷", "￿", "q", "q-", "q-1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string").repartition(3)
+    got = [r.value for r in truncation.begun_values(rows).collect()]
+    assert set(got) == {a for a in texts if any(b.startswith(a) and any(map(str.isalnum, b[len(a) :])) for b in texts)}
+
+
+def test_longer_copies(spark):
+    """Every strict prefix of a longer text is found, however short and finished, but for stock sentences that stand elsewhere, too."""
+    rng = __import__("random").Random(17)
+    word = lambda: "".join(rng.choice("bdeglmnorst") for _ in range(rng.randint(4, 9)))
+    prose = [" ".join(f"The {word()} of {word()} was long." for _ in range(5)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(prose)]
+    rows += [(100 + i, t[: t.index(".", 40) + 1]) for i, t in enumerate(prose[:20])]  # cut at a sentence end, short
+    rows += [(200 + i, t[: 50 + i]) for i, t in enumerate(prose[20:40])]
+    rows += [(300, "Yes, it is."), (301, "Yes, it is. So they said."), (302, "Well now. Yes, it is. Or not."), (303, prose[50]), (None, prose[51][:70]), (305, "")]
+    df = spark.createDataFrame([(*r, "s", "clash") for r in rows], "doc_id bigint, text string, source string, h string")
+    narrow = truncation.prepare(df)
+    got = {r._id for r in truncation.longer_copies(narrow, df).collect()}
+    assert got == {*range(100, 120), *range(200, 220), None}
+    why = {r.doc_id: r.why for r in truncation.truncated(df).collect()}
+    assert {i for i, w in why.items() if w == "copy"} == got and not [i for i in why if i is not None and i < 100]
+
+
+def test_begun_words(spark):
+    rows = [(i, f"So theorem {i} holds again") for i in range(5)] + [(10, "It follows from theo"), (11, "It follows from a theorem"), (12, "So again"), (13, "Follows the zzz"), (14, None)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, text string, source string")
+    assert {r._id for r in truncation.begun_words(truncation.prepare(df), df).collect()} == {10}
 
 
 def _corpus():
@@ -127,12 +150,13 @@ def test_dots_that_stand_for_the_rest(spark):
     whole = [prose(rng.randint(2, 4))[:180].rsplit(".", 1)[0] + "." for _ in range(100)]
     rows = [(i, t, "sync") for i, t in enumerate(whole)]
     rows += [(200 + i, prose(12)[:197] + ("..." if i % 2 else "…  "), "sync") for i in range(12)]
-    rows += [(300 + i, f"{whole[i]} And so it goes on...", "feed") for i in range(20)]
+    rows += [(300 + i, f"{prose(3)} And so it goes on...", "feed") for i in range(20)]
+    rows += [(350, f"{whole[60]} And so it goes on...", "feed")]  # a longer copy of a finished text
     rows += [(400, whole[50][:33] + "...", "feed"), (401, "Well, we all went home.", "feed"), (402, "Well, we all went home...", "feed"), (403, "...", "feed"), (404, whole[51][:-1] + "...", "feed")]
     rows += [(405, "Some say it was li...", "feed"), (406, "Some say it was li", "feed"), (407, "Some say it was li!", "feed"), (408, "Some say it was lifted up.", "feed")]
     got = {r.doc_id: r.why for r in truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert {i for i in got if 200 <= i < 300} == set(range(200, 212))
-    assert {i for i in got if i < 200 or i >= 300} == {400, 405, 406}
+    assert {i for i in got if i < 200 or i >= 300} == {60, 400, 405, 406}
 
 
 @pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
