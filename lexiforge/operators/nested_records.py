@@ -10,16 +10,19 @@ Accepted shapes: an object from form to body, an array of bodies that name their
 these under ``list``; ``pos`` a string, an array or missing; ``opt`` a boolean, number, string or
 missing; ``sub`` any of the shapes again, to any depth; ``attest`` an array of ``{src, ex: [{w, n}]}``.
 
-Defined results: null, empty and unreadable records (also those nested beyond ``MAX_DEPTH``, which no
-parser here accepts) have no nodes; a body that is not an object counts as an empty one under its
-form, and as nothing in an array; blank positions are none; a null form name is ``''``; equal rows
+Records of any depth are read: where the library's parser would run out of stack, one with a stack of its own goes on.
+
+Defined results: null, empty and unreadable records have no nodes; a body that is not an object counts as an empty one under its
+form, and as nothing in an array; blank positions are none; a null form name is ``''``; half surrogate pairs become a replacement character; equal rows
 and rows that share an id are each a record of their own, told apart by ``rid``.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 
 from lexiforge.runtime import cut
 
-MAX_DEPTH = 900
 NODE_SCHEMA = "rid bigint, entry_id {id_type}, kind string, pre bigint, post bigint, level int, name string, opt bigint, n bigint"
 
 
@@ -70,13 +72,66 @@ def _is_container(value) -> bool:
     return isinstance(value, list)
 
 
+_TOKEN = re.compile(r"[ \t\n\r]*([{}\[\],:\"]|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity)")
+_WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+_CLOSES = {"{": "}", "[": "]"}
+
+
+def _parse(text: str):
+    """As ``json.loads`` below, for any depth: open containers wait on a list."""
+    waiting: list[list] = []  # kind, content, key
+    at, want = 0, "value"
+    while True:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            raise ValueError("no JSON")
+        token, at = m.group(1), m.end()
+        mark, value = token, None
+        if mark == '"':
+            value, at = scanstring(text, at, False)
+        if want == "colon":
+            if mark != ":":
+                raise ValueError("no colon")
+            want = "value"
+            continue
+        if want == "comma" and mark == ",":
+            want = "key" if waiting[-1][0] == "{" else "value"
+            continue
+        if want in ("key", "first key") and mark == '"':
+            waiting[-1][2], want = value, "colon"
+            continue
+        if want in ("value", "first value") and mark in _CLOSES:
+            waiting.append([mark, [], None])
+            want = "first key" if mark == "{" else "first value"
+            continue
+        if want in ("comma", "first key", "first value") and waiting and mark == _CLOSES[waiting[-1][0]]:
+            kind, value, _ = waiting.pop()
+            value = value or None if kind == "{" else value
+        elif want not in ("value", "first value") or mark in "}],:":
+            raise ValueError("a mark out of place")
+        elif mark in _WORDS:
+            value = _WORDS[mark]
+        elif mark != '"':
+            value = float(mark) if set(mark) & set(".eE") else int(mark)
+        if not waiting:
+            if text[at:].strip(" \t\n\r"):
+                raise ValueError("something after the record")
+            return value
+        kind, content, key = waiting[-1]
+        content.append((key, value) if kind == "{" else value)
+        want = "comma"
+
+
 def _read(text: str | None):
     """The record with objects as lists of pairs, so that repeated keys stay; None if it can't be read."""
     if not text or not text.strip():
         return None
     try:
-        return json.loads(text, object_pairs_hook=lambda p: p or None, strict=False)
-    except (ValueError, RecursionError):
+        try:
+            return json.loads(text, object_pairs_hook=lambda p: p or None, strict=False)
+        except RecursionError:
+            return _parse(text)
+    except ValueError:
         return None
 
 
@@ -102,8 +157,7 @@ def label(text: str | None) -> list[tuple]:
         if kind == "form":
             nodes[-1][5] = as_flag(body.get("opt"))
             inner = [("open", "pos", p, None, level + 1) for p in _strings(body.get("pos"))]
-            if level < MAX_DEPTH:
-                inner += [("open", "form", n, b, level + 1) for n, b in _bodies(body.get("sub"))]
+            inner += [("open", "form", n, b, level + 1) for n, b in _bodies(body.get("sub"))]
             attest = body.get("attest")
             inner += [("open", "attest", a.get("src"), a, level + 1) for a in map(dict, filter(_is_object, attest if _is_array(attest) else []))]
         elif kind == "attest":
@@ -115,6 +169,9 @@ def label(text: str | None) -> list[tuple]:
         if kind != "form":
             nodes[-1][4] = name if isinstance(name, str) else None
         stack.extend(reversed(inner))
+    for x in nodes:
+        if x[4] is not None and not x[4].isascii():
+            x[4] = x[4].encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
     return [tuple(x) for x in nodes]
 
 

@@ -34,12 +34,39 @@ def test_deep_and_wide(spark):
     for i in range(150):
         deep = '{"f%d": {"sub": %s}}' % (i, deep)
     wide = json.dumps({f"w{i}": {"pos": ["root"]} for i in range(3000)})
-    too_deep = '{"a":{"sub":' * 20_000 + "{}" + "}}" * 20_000
-    got = rows(spark, [deep, wide, too_deep])
-    assert sum(r[0] == 0 for r in got) == 150 and sum(r[0] == 1 for r in got) == 3000
+    nest = lambda n: '{"a":{"sub":' * n + '{"b": {}}' + "}}" * n
+    got = rows(spark, [deep, wide, nest(950), nest(2000), nest(60_000), nest(60_000)[:-1]])
+    count = lambda i: sum(r[0] == i for r in got)
+    assert [count(i) for i in range(6)] == [150, 3000, 951, 2001, 60_001, 0]
     assert ("f149", "f148") in {(r[1], r[2]) for r in got if r[0] == 0}
 
 
+json_values = st.recursive(
+    st.none() | st.booleans() | st.integers(-(10**6), 10**6) | st.floats(-1e6, 1e6) | st.text("ab\\\"\n\u00e9,:]}", max_size=4),
+    lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text("ab", max_size=2), inner, max_size=3), max_leaves=10,
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(json_values, st.integers(0, 6), st.sampled_from(["", "]", "}", ",", ":", " 1", '"', "tru"]))
+def test_own_parser_equals_the_library(value, cut, more):
+    text = json.dumps(value, indent=1 if cut % 2 else None)
+    for t in (text, text[: len(text) - cut] + more, more + text):
+        try:
+            want = json.loads(t, object_pairs_hook=lambda p: p or None, strict=False)
+        except ValueError:
+            want = ValueError
+        try:
+            got = N._parse(t)
+        except ValueError:
+            got = ValueError
+        assert got == want
+
+
+def test_half_surrogates(spark):
+    assert rows(spark, ['{"a\\ud800": {}, "\\ud83d\\ude00": {}}']) == [(0, "", "a\ufffd", 0, ""), (0, "", "\U0001f600", 0, "")]
+
+
 def test_tables_are_linked(spark):
     doc = '{"a": {"attest": [{"src": "deck", "ex": [{"w": "x", "n": 3}, {"w": null, "n": "4"}]}], "sub": {"b": {"attest": [{"src": "cards"}]}}}}'
     df = spark.createDataFrame([(7, doc)], "entry_id bigint, forms string")
