@@ -30,9 +30,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_fused(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving record of each group with the posterior of its text, beside the text of the highest posterior."""
+    """The surviving record of each group, field by field, with the posterior of its text, beside the text the votes find likeliest."""
     parts = [
-        f.select(F.lit(t).alias("tbl"), F.col("k.k0").alias("form"), F.col("k.k1").alias("kind"), "n", "row_id", "text", F.round("p", 6).alias("p"), "map_text", F.round("map_p", 6).alias("map_p"))
+        f.select(F.lit(t).alias("tbl"), F.col("k.k0").alias("form"), F.col("k.k1").alias("kind"), "n", "row_id", "text", "src", F.round("p", 6).alias("p"), "map_text", F.round("map_p", 6).alias("map_p"))
         for t, f in _fused(spark, d)
     ]
     return parts[0].unionByName(parts[1])

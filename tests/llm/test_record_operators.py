@@ -81,11 +81,29 @@ def test_copied_votes_are_discounted(spark):
             n += 1
             rows.append((n, f"k{g}", "x", text, src, at(1)))
     df = spark.createDataFrame(rows, "id bigint, form string, kind string, text string, src string, at timestamp")
-    by_text = fusion.claims(df, [F.col("form")], "id", "text", F.col("src"), "at").groupBy("k", "txt").agg(F.sort_array(F.collect_set("src")).alias("srcs"))
-    accuracy, copying = fusion.estimate(by_text)
+    made = fusion.claims(df, [F.col("form")], "id", "text", "src", "at", ())
+    accuracy, copying = fusion.estimate(fusion.patterns(made))
     assert accuracy["good"] > accuracy["bad"] and copying["bad\x1fcopy"] > 0.9 > 0.5 > copying["fair\x1fgood"]
-    out = fused(spark, rows, trust=()).select(F.col("k.k0").alias("g"), "map_text").collect()
-    assert sum(r.map_text == "t" + r.g[1:] for r in out) > 0.9 * len(out)
+    out = fused(spark, rows, trust=(), order=()).select(F.col("k.k0").alias("g"), "map_text", "text").collect()
+    assert sum(r.map_text == r.text == "t" + r.g[1:] for r in out) > 0.9 * len(out)
+
+
+def test_estimate_decides_where_the_prior_does_not(spark, monkeypatch):
+    rows = [(1, "a", "x", "one", "corpus", at(2)), (2, "a", "x", "two", "roots", at(1)), (3, "a", "x", "three", "roots", at(1)), (4, "b", "x", "n/a", "corpus", at(1)), (5, "b", "x", "none", None, at(1))]
+    for sure, want in (("x", 2), ("y", 3)):
+        rows[1], rows[2] = (*rows[1][:4], "x", at(1)), (*rows[2][:4], "y", at(1))
+        monkeypatch.setattr(fusion, "estimate", lambda p, sure=sure: ({sure: 0.9, "corpus": 0.1}, {}))
+        got = {r.k.k0: r.row_id for r in fused(spark, rows, trust=(), order=()).collect()}
+        assert got == {"a": want, "b": 4}
+        assert {r.k.k0: r.row_id for r in fused(spark, rows, trust=("corpus",), order=("trust",)).collect()}["a"] == 1, "a prior no vote outweighs"
+        assert {r.k.k0: r.row_id for r in fused(spark, rows, trust=(), order=("latest",)).collect()}["a"] == 1
+
+
+def test_fields_are_chosen_one_by_one(spark):
+    rows = [(1, "a", "x", "to go", None, at(5)), (2, "a", "x", "go", "zz", at(4)), (3, "a", "x", None, "manual", at(9)), (4, "b", "x", "go", None, at(9)), (5, "b", "x", "go", "Corpus ", at(1)), (6, "b", "x", "be", "", None)]
+    got = {r.k.k0: (r.row_id, r.text, r.src) for r in fused(spark, rows).collect()}
+    assert got == {"a": (1, "to go", None), "b": (5, "go", "Corpus ")}
+    assert {r.k.k0: (r.row_id, r.src) for r in fused(spark, rows, order=("latest",)).collect()}["b"] == (4, "Corpus ")
 
 
 def test_mixture_separates_and_takes_missing_values():
