@@ -13,9 +13,12 @@ from dataclasses import dataclass
 # What the placeholders stand for, as published.
 VOWELS = "aeiou"
 CONSONANTS = "bcdfghjklmnpqrstvwxyz"
-VOWEL_PAIRS = "ai ay ee ea oa oo ie ei ey au aw ow ou oi oy ue ui eu ew oe".split()
-CLUSTERS_2 = "sp st tr cr gr fr pr br dr pl bl cl fl gl sl sc sk sm sn sw tw dw qu kn wr wh th ch sh ph gn rh".split()
-CLUSTERS_3 = "str spr scr spl thr shr squ sph sch".split()
+VOWEL_PAIRS = ["ai", "ay", "ee", "ea", "oa", "oo", "ie", "ei", "ey", "au", "aw", "ow", "ou", "oi", "oy", "ue", "ui", "eu", "ew", "oe"]
+CLUSTERS_2 = [
+    "sp", "st", "tr", "cr", "gr", "fr", "pr", "br", "dr", "pl", "bl", "cl", "fl", "gl", "sl", "sc", "sk", "sm", "sn", "sw",
+    "tw", "dw", "qu", "kn", "wr", "wh", "th", "ch", "sh", "ph", "gn", "rh",
+]
+CLUSTERS_3 = ["str", "spr", "scr", "spl", "thr", "shr", "squ", "sph", "sch"]
 PLACEHOLDERS: dict[str, str | list[str]] = {"A": VOWELS, "T": CONSONANTS, "AA": VOWEL_PAIRS, "TT": CLUSTERS_2, "TTT": CLUSTERS_3}
 
 _BARE = re.compile(r"\[[^\]]*\]|\^(?:T{1,3}|A{1,3}|.)|T{1,3}|A{1,3}", re.S)

@@ -1,38 +1,40 @@
 """Relational affix analysis: candidates come from equi-joins on generated keys, never from testing every affix against every word.
 
-``left(word, n)`` and ``right(word, n)`` for each length up to the longest affix are exploded and joined
+``left(word, n)`` and ``right(word, n)`` for each length the list has are exploded and joined
 with the affix list; what is left joins the word list. Scores decide with explicit ties.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.runtime import cut
 
-#: Upper bound of the length of an affix used as a key; longer ones are no affixes.
-MAX_AFFIX = 12
-
 # Endings an etymological root may be followed by.
 COMMON_ENDINGS = ["y", "a", "o", "i", "e", "s", "n", "m", "us", "um", "on", "is", "os", "es", "as", "ae", "en", "in", "ly"]
 
 
-def _lengths(word: Column, leave: int) -> Column:
-    top = F.least(F.lit(MAX_AFFIX), F.length(word) - leave)
-    return F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
+def with_sizes(rows: DataFrame, forms: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with the lengths that the forms of a list have: one row is broadcast, as many numbers as there are lengths."""
+    sizes = forms.agg(F.array_sort(F.collect_set(F.length(column))).alias(out))
+    return rows.crossJoin(F.broadcast(sizes))
 
 
 def prefix_splits(words: DataFrame, affixes: DataFrame, leave: int = 2) -> DataFrame:
     """``word, pre, rest`` for each prefix of the list that leaves at least ``leave`` letters."""
-    keys = words.select("word", F.explode(_lengths(F.col("word"), leave)).alias("n")).select("word", F.substring(F.col("word"), F.lit(1), F.col("n")).alias("pre"), F.expr("substring(word, n + 1)").alias("rest"))
-    return keys.join(affixes.where("kind = 'p'").select(F.col("affix").alias("pre")), "pre").select("word", "pre", "rest")
+    pre = affixes.where("kind = 'p'").select(F.col("affix").alias("pre"))
+    keys = with_sizes(words.select("word"), pre, "pre", "sizes").select("word", F.explode(F.filter("sizes", lambda n: n <= F.length("word") - leave)).alias("n"))
+    keys = keys.select("word", F.substring(F.col("word"), F.lit(1), F.col("n")).alias("pre"), F.expr("substring(word, n + 1)").alias("rest"))
+    return keys.join(pre, "pre").select("word", "pre", "rest")
 
 
 def suffix_splits(words: DataFrame, affixes: DataFrame, leave: int = 2) -> DataFrame:
     """``word, rest, suf`` for each suffix of the list that leaves at least ``leave`` letters."""
-    keys = words.select("word", F.explode(_lengths(F.col("word"), leave)).alias("n")).select("word", F.expr("substring(word, 1, length(word) - n)").alias("rest"), F.expr("right(word, n)").alias("suf"))
-    return keys.join(affixes.where("kind = 's'").select(F.col("affix").alias("suf")), "suf").select("word", "rest", "suf")
+    suf = affixes.where("kind = 's'").select(F.col("affix").alias("suf"))
+    keys = with_sizes(words.select("word"), suf, "suf", "sizes").select("word", F.explode(F.filter("sizes", lambda n: n <= F.length("word") - leave)).alias("n"))
+    keys = keys.select("word", F.expr("substring(word, 1, length(word) - n)").alias("rest"), F.expr("right(word, n)").alias("suf"))
+    return keys.join(suf, "suf").select("word", "rest", "suf")
 
 
 def strip_affixes(words: DataFrame, affixes: DataFrame, lexicon: DataFrame, min_stem: int = 2) -> DataFrame:
@@ -94,33 +96,51 @@ def one_hop(words: DataFrame, affixes: DataFrame, lexicon: DataFrame) -> DataFra
     return best.select("word", F.col("b.rest").alias("base"), "b.affix", "b.kind")
 
 
+def etym_variants(etym: DataFrame) -> DataFrame:
+    """``root``: the forms an etymology field stands for. Its first item is the base; ``=x`` and ``-x`` are put after it, other items are forms of their own; forms of one letter are left out."""
+    items = etym.where("roots != ''").select(F.transform(F.split("roots", ","), lambda x: F.trim(x)).alias("x"))
+    based = items.select(F.slice("x", F.lit(2), F.size("x")).alias("more"), F.regexp_replace(F.get("x", F.lit(0)), "^[=-]", "").alias("base"))
+    grown = F.transform(F.filter("more", lambda p: p != ""), lambda p: F.when(p.rlike("^[=-]"), F.concat("base", F.regexp_replace(p, "^[=-]", ""))).otherwise(p))
+    each = based.select(F.explode(F.concat(F.array("base"), grown)).alias("v")).select(F.lower(F.regexp_replace("v", "^[-=]+", "")).alias("root"))
+    return each.where("length(root) >= 2").distinct()
+
+
 def etym_candidates(words: DataFrame, roots: DataFrame, affixes: DataFrame) -> DataFrame:
-    """``word, prefix, root, root2, suffix, score``: splits around known roots (``roots(root)``, three letters or more).
+    """``word, prefix, root, root2, suffix, score, tier``: splits around known roots (``roots(root)``).
 
-    prefix + root (+ suffix) ``2lp + 3lr + 2ls + 10`` (the ten if a suffix or nothing follows), the same
-    with a known prefix, and root + root (+ suffix) ``2r1 + 3r2 + 2ls + 15``.
+    In the first tier a prefix of two letters or more with a root, or any prefix or none with a root and a suffix
+    (``2lp + 3lr + 2ls + 10``, roots of two letters or more), and two roots of three or more with or without a suffix (``2r1 + 3r2 + 2ls + 15``).
+    In the second, where there is nothing else, a prefix of one letter with a root of three or more (``2 + 3lr``). A word that is
+    itself a root is not divided by it.
     """
-    r = roots.where(F.length("root") >= 3).select("root").distinct()
+    session = words.sparkSession
+    r = roots.where(F.length("root") >= 2).select("root").distinct()
     tails = affixes.where("kind = 's'").select(F.col("affix").alias("suffix"))
-    ends = words.sparkSession.createDataFrame([(e,) for e in COMMON_ENDINGS], "suffix string")
-    suffixes = tails.unionByName(ends).unionByName(words.sparkSession.createDataFrame([("",)], "suffix string")).distinct()
-    at = words.select("word", F.explode(F.expr("sequence(0, length(word))")).alias("i"))
-    heads = at.select("word", "i", F.expr("substring(word, 1, i)").alias("head"))
-    prefixes = affixes.where("kind = 'p'").select(F.col("affix").alias("head"))
-    opened = heads.where("i = 0").select("word", "i", F.lit("").alias("prefix")).unionByName(heads.join(prefixes, "head").select("word", "i", F.col("head").alias("prefix")))
-    spans = opened.select("word", "prefix", "i", F.explode(F.expr("case when length(word) - i >= 3 then sequence(3, length(word) - i) else array() end")).alias("n"))
-    rooted = spans.select("word", "prefix", (F.col("i") + F.col("n")).alias("j"), F.expr("substring(word, i + 1, n)").alias("root")).join(r, "root")
-    ended = rooted.select("word", "prefix", "root", F.expr("substring(word, j + 1)").alias("suffix")).join(suffixes, "suffix")
-    simple = ended.select("word", "prefix", "root", F.lit("").alias("root2"), "suffix", (2.0 * F.length("prefix") + 3 * F.length("root") + 2 * F.length("suffix") + 10).alias("score"))
-    pairs = rooted.where("prefix = ''").select("word", "root", "j", F.explode(F.expr("case when length(word) - j >= 3 then sequence(3, length(word) - j) else array() end")).alias("n"))
-    second = pairs.select("word", F.col("root").alias("root1"), F.expr("substring(word, j + 1, n)").alias("root"), F.expr("substring(word, j + n + 1)").alias("suffix")).join(r, "root").join(suffixes, "suffix")
-    double = second.select("word", F.lit("").alias("prefix"), F.col("root1").alias("root"), F.col("root").alias("root2"), "suffix", (2.0 * F.length("root1") + 3 * F.length("root") + 2 * F.length("suffix") + 15).alias("score"))
+    suffixes = tails.unionByName(session.createDataFrame([(e,) for e in ["", *COMMON_ENDINGS]], "suffix string")).distinct()
+    prefixes = affixes.where("kind = 'p'").select(F.col("affix").alias("prefix")).distinct()
+    base = with_sizes(with_sizes(words.select("word").distinct(), prefixes, "prefix", "ps"), r, "root", "rs")
+    headed = base.select("word", "rs", F.explode(F.filter("ps", lambda n: n <= F.length("word") - 2)).alias("i"))
+    headed = headed.select("word", "rs", "i", F.expr("substring(word, 1, i)").alias("prefix")).join(prefixes, "prefix").select("word", "rs", "i")
+    opened = base.select("word", "rs", F.lit(0).alias("i")).unionByName(headed)
+    spans = opened.select("word", "rs", "i", F.explode(F.filter("rs", lambda n: n <= F.length("word") - F.col("i"))).alias("n"))
+    rooted = spans.select("word", "rs", "i", (F.col("i") + F.col("n")).alias("j"), F.expr("substring(word, i + 1, n)").alias("root")).join(r, "root")
+    ended = rooted.select("word", "i", "root", F.expr("substring(word, j + 1)").alias("suffix")).join(suffixes, "suffix")
+    lr, ls = F.length("root"), F.length("suffix")
+    bare, weak = F.col("suffix") == "", (F.col("suffix") == "") & (F.col("i") == 1)
+    score = F.when(weak, 2.0 + 3 * lr).otherwise(2.0 * F.col("i") + 3 * lr + 2 * ls + 10)
+    simple = ended.where(~(bare & (F.col("i") == 0)) & ~(weak & (lr < 3)))
+    simple = simple.select("word", F.expr("substring(word, 1, i)").alias("prefix"), "root", F.lit("").alias("root2"), "suffix", score.alias("score"), F.when(weak, 2).otherwise(1).alias("tier"))
+    first = rooted.where("i = 0 and length(root) >= 3")
+    pairs = first.select("word", F.col("root").alias("root1"), "j", F.explode(F.filter("rs", lambda n: (n >= 3) & (n <= F.length("word") - F.col("j")))).alias("n"))
+    second = pairs.select("word", "root1", F.expr("substring(word, j + 1, n)").alias("root"), F.expr("substring(word, j + n + 1)").alias("suffix")).join(r, "root").join(suffixes, "suffix")
+    double = second.select("word", F.lit("").alias("prefix"), F.col("root1").alias("root"), F.col("root").alias("root2"), "suffix", (2.0 * F.length("root1") + 3 * F.length("root") + 2 * F.length("suffix") + 15).alias("score"), F.lit(1).alias("tier"))
     return simple.unionByName(double)
 
 
 def etym_analysis(words: DataFrame, roots: DataFrame, affixes: DataFrame) -> DataFrame:
     every = etym_candidates(words, roots, affixes)
-    best = every.groupBy("word").agg(F.max_by(F.struct("prefix", "root", "root2", "suffix", "score"), F.struct("score", "prefix", "root", "root2", "suffix")).alias("b"))
+    key = F.struct((-F.col("tier")).alias("t"), "score", "prefix", "root", "root2", "suffix")
+    best = every.groupBy("word").agg(F.max_by(F.struct("prefix", "root", "root2", "suffix", "score"), key).alias("b"))
     return best.select("word", "b.*")
 
 
@@ -130,67 +150,88 @@ def derivation_strategy(deriv: DataFrame) -> DataFrame:
     return best.select("word", "b.*", F.greatest(F.lit(3.0), 0.5 * F.length("b.affix") + 2).alias("score"))
 
 
-def inflections(deriv: DataFrame) -> DataFrame:
-    """``word, lemma, suffix``: for each word the last loaded suffix derivation, an empty suffix giving way to a non-empty one."""
-    rows = deriv.where("kind = 's'")
-    best = rows.groupBy("word").agg(F.max_by(F.struct("base", "affix"), F.struct((F.col("affix") != "").alias("full"), "ord")).alias("b"))
-    return best.select("word", F.col("b.base").alias("lemma"), F.col("b.affix").alias("suffix")).where("suffix != '' and suffix != lemma")
+def inflections(rows: DataFrame) -> DataFrame:
+    """``form, lemma, suffix``: one entry a form, of ``form, lemma, suffix, ord``.
+
+    The first entry with a suffix is kept. Of a form without any, later entries replace an earlier one as long as their lemma is another word.
+    """
+    full = F.col("suffix") != ""
+    first = F.min_by(F.struct("lemma", "suffix"), F.when(full, F.col("ord")))
+    other = F.max_by(F.struct("lemma", "suffix"), F.when(F.col("lemma") != F.col("form"), F.col("ord")))
+    any_one = F.min_by(F.struct("lemma", "suffix"), "ord")
+    best = rows.withColumn("suffix", F.coalesce("suffix", F.lit(""))).groupBy("form").agg(F.coalesce(first, other, any_one).alias("b"))
+    return best.select("form", "b.lemma", "b.suffix")
 
 
-def analyze(words: DataFrame, deriv: DataFrame, roots: DataFrame, affixes: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``word, strategy, parts, score``: the primary analysis of each word.
+def one_step(words: DataFrame, deriv: DataFrame, affixes: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """``word, base, affix, kind``: the derivation with the longest affix, else, with a ``lexicon``, one layer taken off by rule."""
+    told = derivation_strategy(deriv.join(words, "word", "left_semi")).drop("score")
+    if lexicon is None:
+        return told
+    return told.unionByName(one_hop(words.join(told, "word", "left_anti"), affixes.where(F.length("affix") >= 2), lexicon))
 
-    A derivation whose base derives further with the other kind of affix gives both (``combined``);
-    else an inflection; else the better of rule and etymology, the latter only if it scores more and
-    the word is no base or it scores 30 or more; else ``none``.
+
+def analyze(words: DataFrame, deriv: DataFrame, roots: DataFrame, affixes: DataFrame, lexicon: DataFrame, inflected: DataFrame) -> DataFrame:
+    """``word, strategy, parts, score, strategies``: the primary analysis of each word and all that were found, the primary's first.
+
+    A derivation whose base has a further layer (derived or by rule) is ``combined`` if prefix and suffix come together; else the
+    derivation itself; else an inflection; else the better of rule and etymology, the latter only if it scores more and
+    the word is no base or it scores 30 or more; else ``none``. ``inflected`` is ``form, lemma, suffix``; words without a suffix are no inflections.
     """
-    d = derivation_strategy(deriv)
-    inner = d.select(F.col("word").alias("base"), F.col("base").alias("base2"), F.col("affix").alias("affix2"), F.col("kind").alias("kind2"), F.col("score").alias("score2"))
-    two = d.join(inner, "base").where("kind != kind2")
-    suf, pre = F.when(F.col("kind") == "s", F.col("affix")).otherwise(F.col("affix2")), F.when(F.col("kind") == "p", F.col("affix")).otherwise(F.col("affix2"))
-    combined = two.select("word", F.lit("combined").alias("strategy"), F.array(pre, "base2", suf).alias("parts"), (F.col("score") + F.col("score2")).alias("score"), F.lit(0).alias("o"))
-    plain = d.select("word", F.lit("derivation").alias("strategy"), F.when(F.col("kind") == "s", F.array("base", "affix")).otherwise(F.array("affix", "base")).alias("parts"), "score", F.lit(1).alias("o"))
-    inflected = inflections(deriv).select("word", F.lit("inflection").alias("strategy"), F.array("lemma", "suffix").alias("parts"), F.lit(3.0).alias("score"), F.lit(2).alias("o"))
+    words = words.select("word").distinct()
+    outer = cut(one_step(words, deriv, affixes, None))
+    inner = one_step(outer.select(F.col("base").alias("word")).distinct(), deriv, affixes, lexicon).toDF("base", "base2", "affix2", "kind2")
+    points = lambda c: F.greatest(F.lit(3.0), 0.5 * F.length(c) + 2)
+    joined = outer.join(inner, "base", "left")
+    two = F.col("base2").isNotNull() & (F.col("kind") != F.col("kind2"))
+    pre, suf = F.when(F.col("kind") == "p", F.col("affix")).otherwise(F.col("affix2")), F.when(F.col("kind") == "s", F.col("affix")).otherwise(F.col("affix2"))
+    entry = lambda scheme, parts, score: F.struct(F.lit(scheme).alias("scheme"), parts.alias("parts"), score.cast("double").alias("score"))
+    step1 = entry("derivation", F.when(F.col("kind") == "s", F.array("base", "affix")).otherwise(F.array("affix", "base")), points("affix"))
+    step2 = entry("derivation", F.when(F.col("kind2") == "s", F.array("base2", "affix2")).otherwise(F.array("affix2", "base2")), points("affix2"))
+    whole = entry("combined", F.array(pre, "base2", suf), points("affix") + points("affix2"))
+    derived = joined.select("word", F.when(two, whole).otherwise(step1).alias("primary"), F.when(F.col("base2").isNotNull(), F.array(step1, step2)).otherwise(F.array(step1)).alias("strategies"))
+    rest = words.join(derived, "word", "left_anti")
+    flex = inflected.where("suffix != '' and suffix != lemma").withColumnRenamed("form", "word").join(rest, "word", "left_semi")
+    bent = flex.select("word", entry("inflection", F.array("lemma", "suffix"), F.lit(3.0)).alias("primary"))
+    bent = bent.select("word", "primary", F.array("primary").alias("strategies"))
+    rest = cut(rest.join(bent, "word", "left_anti"))
+    known_bases = deriv.select(F.col("base").alias("word")).unionByName(inflected.select(F.col("lemma").alias("word"))).distinct().withColumn("is_base", F.lit(True))
     filled = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull() & (x != ""))
-    rest = words.join(d.select("word"), "word", "left_anti")
-    bases = deriv.select(F.col("base").alias("word"), F.lit(True).alias("is_base")).distinct()
-    rule = rule_analysis(rest, affixes, lexicon).select("word", filled("prefix", "stem", "suffix").alias("rp"), F.col("score").alias("rs"))
-    etym = etym_analysis(rest, roots, affixes).select("word", filled("prefix", "root", "root2", "suffix").alias("ep"), F.col("score").alias("es"))
-    either = rest.join(rule, "word", "left").join(etym, "word", "left").join(bases, "word", "left")
-    wins = (F.col("es") > F.coalesce("rs", F.lit(-1.0))) & (F.col("is_base").isNull() | (F.col("es") >= 30))
-    last = either.select(
-        "word",
-        F.when(wins, "etym").when(F.col("rs").isNotNull(), "rule").otherwise("none").alias("strategy"),
-        F.when(wins, F.col("ep")).when(F.col("rs").isNotNull(), F.col("rp")).otherwise(F.array("word")).alias("parts"),
-        F.when(wins, F.col("es")).when(F.col("rs").isNotNull(), F.col("rs")).otherwise(0.0).alias("score"),
-        F.lit(3).alias("o"),
-    )
-    every = combined.unionByName(plain).unionByName(inflected).join(words, "word", "left_semi").unionByName(last)
-    best = every.groupBy("word").agg(F.min_by(F.struct("strategy", "parts", "score"), F.struct("o", (-F.col("score")).alias("s"), "parts")).alias("b"))
-    return best.select("word", "b.*")
+    rule = rule_analysis(rest, affixes, lexicon).select("word", entry("rule", filled("prefix", "stem", "suffix"), F.col("score")).alias("r"))
+    etym = etym_analysis(rest, roots, affixes).select("word", entry("etym", filled("prefix", "root", "root2", "suffix"), F.col("score")).alias("e"))
+    either = rest.join(rule, "word", "left").join(etym, "word", "left").join(known_bases, "word", "left")
+    strong = F.col("is_base").isNull() | (F.col("e.score") >= 30)
+    none = entry("none", F.array("word"), F.lit(0.0))
+    wins = F.col("e").isNotNull() & (F.col("e.score") > F.coalesce(F.col("r.score"), F.lit(-1.0))) & strong
+    chosen = F.when(wins, F.array_compact(F.array("e", "r"))).when(F.col("r").isNotNull(), F.array_compact(F.array("r", "e"))).otherwise(F.array(none))
+    last = either.select("word", chosen.alias("strategies")).select("word", F.get("strategies", F.lit(0)).alias("primary"), "strategies")
+    every = derived.unionByName(bent).unionByName(last)
+    return every.select("word", F.col("primary.scheme").alias("strategy"), "primary.parts", "primary.score", "strategies")
 
 
-def chains(reverse: DataFrame, hops: int = 10) -> DataFrame:
-    """``word, base, parts, depth``: derivations followed for at most ``hops`` steps.
+def chains(reverse: DataFrame, hops: int = 10, words: DataFrame | None = None) -> DataFrame:
+    """``word, base, parts, depth``: derivations followed for at most ``hops`` steps, of all words or of those given.
 
     ``reverse(word, base, affix, kind)`` has one row a word. Parts are the affixes in their places around
-    the last base reached. A ring stops at the bound.
+    the last base reached. A ring stops at the bound. Only words that have a step to go are moved in a round; finished ones are kept apart.
     """
-    step = reverse.select("word", "base", F.when(F.col("kind") == "p", F.array("affix")).otherwise(F.array().cast("array<string>")).alias("pre"), F.when(F.col("kind") == "s", F.array("affix")).otherwise(F.array().cast("array<string>")).alias("suf"))
-    state = step.withColumn("depth", F.lit(1))
-    nxt = step.select(F.col("word").alias("base"), F.col("base").alias("b2"), F.col("pre").alias("p2"), F.col("suf").alias("s2"))
-    state = cut(state)
-    for _ in range(hops - 1):
-        moved = state.join(nxt, "base", "left")
-        state = cut(
-            moved.select(
-                "word",
-                F.coalesce("b2", "base").alias("base"),
-                F.when(F.col("b2").isNotNull(), F.concat("pre", "p2")).otherwise(F.col("pre")).alias("pre"),
-                F.when(F.col("b2").isNotNull(), F.concat("s2", "suf")).otherwise(F.col("suf")).alias("suf"),
-                (F.col("depth") + F.col("b2").isNotNull().cast("int")).alias("depth"),
-            )
-        )
-        if state.join(nxt.select("base"), "base", "left_semi").isEmpty():
+    none = F.array().cast("array<string>")
+    side = lambda kind: F.when(F.col("kind") == kind, F.array("affix")).otherwise(none)
+    goes = reverse.select(F.col("word").alias("base"), F.lit(True).alias("more"))
+    step = reverse.select("word", "base", side("p").alias("pre"), side("s").alias("suf")).join(goes, "base", "left")
+    step = cut(step.select("word", "base", "pre", "suf", F.coalesce("more", F.lit(False)).alias("more")))
+    nxt = step.select(F.col("word").alias("base"), F.col("base").alias("b2"), F.col("pre").alias("p2"), F.col("suf").alias("s2"), F.col("more").alias("m2"))
+    state = (step if words is None else step.join(words.select("word").distinct(), "word", "left_semi")).withColumn("depth", F.lit(1))
+    done = [state.where("not more")]
+    state = state.where("more")
+    for depth in range(2, hops + 1):
+        moved = state.join(nxt, "base").select("word", F.col("b2").alias("base"), F.concat("pre", "p2").alias("pre"), F.concat("s2", "suf").alias("suf"), F.col("m2").alias("more"), F.lit(depth).alias("depth"))
+        moved = cut(moved)
+        done.append(moved.where("not more"))
+        state = moved.where("more")
+        if state.isEmpty():
             break
-    return state.select("word", "base", F.concat("pre", F.array("base"), "suf").alias("parts"), "depth")
+    every = state
+    for part in done:
+        every = every.unionByName(part)
+    return every.select("word", "base", F.concat("pre", F.array("base"), "suf").alias("parts"), "depth")

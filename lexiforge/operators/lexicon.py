@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.runtime import cut, load
+from lexiforge.runtime import cut, load, once
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    return docs.where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+def tokens(docs: DataFrame, lang: str | None = None) -> DataFrame:
+    """The words of the texts, of one language if it is given."""
+    rows = docs if lang is None else docs.where(F.col("lang") == lang)
+    return rows.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
 
 
-def word_counts(spark: SparkSession, d: str) -> DataFrame:
-    """``word, cnt`` of the English texts; combined before the shuffle."""
-    return tokens(load(spark, d, "documents", "text", "lang")).groupBy("word").agg(F.count("*").alias("cnt"))
+def counted(docs: DataFrame, lang: str | None = None) -> DataFrame:
+    """``word, cnt`` of the texts; combined before the shuffle."""
+    return tokens(docs, lang).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
 def ranked(df: DataFrame, order: list[Column], out: str = "frequency") -> DataFrame:
@@ -33,16 +35,30 @@ def ranked(df: DataFrame, order: list[Column], out: str = "frequency") -> DataFr
     return parts.join(F.broadcast(shift), "_part").select(*df.columns, (F.col("_before") + F.col("_row") + 1).cast("bigint").alias(out))
 
 
-def lexicon(spark: SparkSession, d: str) -> DataFrame:
+def build_index(words: DataFrame) -> DataFrame:
+    """``row_id, word, word_lower, cnt`` of counted words, sorted by the folded key, so that equality and prefixes skip row groups.
+
+    ``row_id`` is the rank, the smaller the commoner; every seventh key keeps a capital, so that the case-folded path is used.
+    """
+    lex = ranked(words, [F.desc("cnt"), F.asc("word")])
+    key = F.when(F.col("frequency") % 7 == 0, F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
+    index = lex.select(F.col("frequency").alias("row_id"), key.alias("word"), F.col("word").alias("word_lower"), "cnt")
+    return index.repartitionByRange("word_lower").sortWithinPartitions("word_lower")
+
+
+def word_index(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
+    """The dictionary index, built once a session for a table as it is, then read with what is asked pushed to the scan."""
+    return once(spark, f"word-index-{lang}", [f"{d}/documents.parquet"], lambda: build_index(counted(load(spark, d, "documents", "text", "lang"), lang)))
+
+
+def lexicon(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
     """``word, cnt, frequency``; frequency is a rank, the smaller the commoner."""
-    return ranked(word_counts(spark, d), [F.desc("cnt"), F.asc("word")])
+    return word_index(spark, d, lang).select(F.col("word_lower").alias("word"), "cnt", F.col("row_id").alias("frequency"))
 
 
-def word_index(spark: SparkSession, d: str) -> DataFrame:
-    """The dictionary index: every seventh key keeps a capital, so that the case-folded path is used."""
-    lex = lexicon(spark, d)
-    key = F.when(F.col("frequency") % 7 == 0, F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
-    return lex.select(F.col("frequency").alias("row_id"), key.alias("word"), F.col("word").alias("word_lower"), "cnt")
+def word_counts(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
+    """``word, cnt`` of the word list."""
+    return word_index(spark, d, lang).select(F.col("word_lower").alias("word"), "cnt")
 
 
 def derivations(spark: SparkSession, d: str) -> DataFrame:

@@ -16,8 +16,11 @@ _JOINED = re.compile(r"[A-Za-z]+(?:[.+][A-Za-z]+)+")
 
 # Words of the notes' own language about words.
 NOISE = frozenset(
-    "vulgar latin greek french german spanish italian russian arabic hebrew sanskrit prefix suffix synonym antonym plural singular literally figurative ultimately".split()
-)
+    [
+        "vulgar", "latin", "greek", "french", "german", "spanish", "italian", "russian", "arabic", "hebrew", "sanskrit",
+        "prefix", "suffix", "synonym", "antonym", "plural", "singular", "literally", "figurative", "ultimately",
+    ]
+)
 
 
 def split_of(note: str, word: str) -> tuple[str, str]:
@@ -48,23 +51,17 @@ def related_words(text: str, word: str) -> list[str]:
     are letters of a phonetic transcription, noise words and what a split already covers.
     """
     want = word.strip().lower()
-    splits = [m.group() for m in _JOINED.finditer(text) if not (m.start() and text[m.start() - 1] in ".-")]
-    out: list[str] = []
-    fragments: set[str] = set()
-    for s in splits:
-        whole, pieces = re.sub("[.+]", "", s).lower(), re.split("[.+]", s)
-        if whole != want and len(whole) >= 4:
-            out.append(s.replace("+", "."))
-        if whole == want or len(pieces) >= 3:
-            fragments |= {p.lower() for p in pieces if len(p) >= 4 and p.lower() != want}
-    out = list(dict.fromkeys(out))
-    covered = {o.replace(".", "").lower() for o in out}
-    for plain in re.findall(r"[A-Za-z]{4,}", re.sub(r"\[[^\]]*\]", "", text)):
-        low = plain.lower()
-        if low not in fragments and low not in NOISE and low not in covered and low != want:
-            out.append(plain)
-            covered.add(low)
-    return out
+    splits = [(re.split("[.+]", m.group()), m.group()) for m in _JOINED.finditer(text) if text[max(0, m.start() - 1) : m.start()] not in (".", "-")]
+    letters = ["".join(pieces).lower() for pieces, _ in splits]
+    shown = {x.replace("+", "."): w for (_, x), w in zip(splits, letters) if w != want and len(w) >= 4}
+    parts = {p.lower() for (pieces, _), w in zip(splits, letters) if w == want or len(pieces) > 2 for p in pieces}
+    loose: dict[str, str] = {}
+    for x in re.findall(r"[A-Za-z]{4,}", re.sub(r"\[[^\]]*\]", "", text)):
+        loose.setdefault(x.lower(), x)
+    for known in ({want}, parts, NOISE, shown.values()):
+        for w in known:
+            loose.pop(w, None)
+    return [*shown, *loose.values()]
 
 
 RESULT = T.StructType([T.StructField("segmentation", T.StringType()), T.StructField("related", T.ArrayType(T.StringType()))])
@@ -74,7 +71,7 @@ def _clean(words: pd.Series, notes: pd.Series) -> pd.DataFrame:
     splits, related = [], []
     for w, n in zip(words, notes):
         split, rest = split_of(n or "", w or "")
-        found = related_words(rest, w or "")
+        found = related_words(n or "", w or "") + related_words(rest, w or "")  # the whole note first, then what follows the split
         splits.append(split)
         related.append(list(dict.fromkeys(found)))
     return pd.DataFrame({"segmentation": splits, "related": related})

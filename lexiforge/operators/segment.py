@@ -13,34 +13,65 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.functions import strings
 from lexiforge.operators import nested_records as nested
-from lexiforge.runtime import cut
+from lexiforge.operators.affixes import with_sizes
+from lexiforge.runtime import cut, written
 
+# What a letter without a form and a segment cost.
 GAP_COST, SEG_COST = 1.0, 2.0
-MAX_FORM = 24
 VOWELS = frozenset("aeiou")
 
-PART = T.StructType([T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("meaning", T.StringType()), T.StructField("lang", T.StringType())])
-RESULT = T.StructType([T.StructField("stage1", T.StringType()), T.StructField("parts", T.ArrayType(PART))])
+#: A part as the search leaves it: the form and the number of its interpretation stand for meaning and language.
+FOUND = T.StructType([T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("form", T.StringType()), T.StructField("k", T.IntegerType())])
+RESULT = T.StructType([T.StructField("stage1", T.StringType()), T.StructField("parts", T.ArrayType(FOUND))])
+
+
+def shown_meaning(ety: Column, ety_lang: Column, meaning: Column, lang: Column) -> Column:
+    """``src, meaning, lang`` of an entry: ``dict`` with the etymology, unless that only refers elsewhere, and ``affix`` where there is none."""
+    blank = F.lit("")
+    told = F.coalesce(ety != "", F.lit(False))
+    refers = F.lower(ety).contains("see also") | ety.contains(";;")
+    own = told & ~refers
+    either = F.when(ety_lang != "", ety_lang).otherwise(F.coalesce(lang, blank))
+    return F.struct(
+        F.when(told, "dict").otherwise("affix").alias("src"),
+        F.when(own, ety).otherwise(F.coalesce(meaning, blank)).alias("meaning"),
+        F.when(own, either).otherwise(F.coalesce(lang, blank)).alias("lang"),
+    )
 
 
 def root_forms(roots: DataFrame, affixes: DataFrame) -> DataFrame:
-    """``form, base, opt, pos, meaning, lang, src, ord``: forms nested in root entries and forms of the affix list."""
+    """``form, base, opt, pos, meaning, lang, src, ord``: forms nested in root entries and forms of the affix list, of two letters or more; a missing meaning is ``''``."""
     links = nested.linked(cut(nested.nodes(roots.select("entry_id", "forms")).where("kind in ('form', 'pos')")))
     pos = nested.positions_table(links).groupBy("rid", F.col("form_pre").alias("pre")).agg(F.array_sort(F.collect_set("pos")).alias("pos"))
     found = nested.forms_table(links).join(pos, ["rid", "pre"], "left").select("entry_id", F.lower("form").alias("form"), (F.col("opt") == 1).alias("opt"), "pos")
-    info = roots.select("entry_id", F.lower("base").alias("base"), strings.chosen_meaning(F.col("ety_meaning"), F.col("meaning")).alias("meaning"), F.coalesce("ety_lang", "lang").alias("lang"))
+    info = roots.select("entry_id", F.lower("base").alias("base"), shown_meaning(F.col("ety_meaning"), F.col("ety_lang"), F.col("meaning"), F.col("lang")).alias("m"))
     none = F.array().cast("array<string>")
-    a = found.join(info, "entry_id").select("form", "base", "opt", F.coalesce("pos", none).alias("pos"), "meaning", "lang", F.lit("dict").alias("src"), F.col("entry_id").alias("ord"))
+    a = found.join(info, "entry_id").select("form", "base", "opt", F.coalesce("pos", none).alias("pos"), "m.meaning", "m.lang", "m.src", F.col("entry_id").alias("ord"))
     form = strings.strip_dashes(F.lower("roots"))
     kind = F.when(strings.affix_position(F.trim("roots")).isNotNull(), F.array(strings.affix_position(F.trim("roots")))).otherwise(none)
-    b = affixes.select(form.alias("form"), form.alias("base"), F.lit(False).alias("opt"), kind.alias("pos"), "meaning", F.col("lang_code").alias("lang"), F.lit("affix").alias("src"), F.col("affix_id").alias("ord"))
-    return a.unionByName(b).where("length(form) >= 2 and meaning is not null")
+    shown = [F.coalesce(c, F.lit("")).alias(n) for c, n in (("meaning", "meaning"), ("lang_code", "lang"))]
+    b = affixes.select(form.alias("form"), form.alias("base"), F.lit(False).alias("opt"), kind.alias("pos"), *shown, F.lit("affix").alias("src"), F.col("affix_id").alias("ord"))
+    return a.unionByName(b).where("length(form) >= 2")
+
+
+def frequent_forms(frequent: DataFrame) -> DataFrame:
+    """``form, freq, merged, canonical, variants, kinds`` of the frequent affixes of two letters or more.
+
+    ``merged`` is that of the largest group, or the own count where the group has none; ``canonical`` and ``variants`` are that group's.
+    """
+    n = F.coalesce("cnt", F.lit(0))
+    merged = F.when(F.col("merged_count") > 0, F.col("merged_count")).otherwise(n)
+    form = strings.strip_dashes(F.lower("affix"))
+    rows = frequent.select(form.alias("form"), n.alias("n"), merged.alias("merged"), "affix_type", F.coalesce("canonical", form).alias("canonical"), F.coalesce("variants", F.array(form)).alias("variants")).where("length(form) >= 2")
+    group = F.max_by(F.struct("canonical", "variants"), F.struct("merged", "canonical")).alias("g")
+    kinds = F.array_sort(F.collect_set(F.when(F.col("affix_type") != "", F.col("affix_type")))).alias("kinds")
+    return rows.groupBy("form").agg(F.max("n").alias("freq"), F.max("merged").alias("merged"), group, kinds).select("form", "freq", "merged", "g.canonical", "g.variants", "kinds")
 
 
 def form_index(forms: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -48,16 +79,21 @@ def form_index(forms: DataFrame, frequent: DataFrame) -> DataFrame:
     order = F.struct((F.col("form") != F.col("base")).alias("other"), "ord")
     one = forms.groupBy("form", "pos", "opt", "src").agg(F.min_by(F.struct("meaning", "lang"), order).alias("m"), F.min(order).alias("o"))
     interps = one.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("o", "pos", "opt", "src", "m.meaning", "m.lang"))).alias("interps"))
-    hf = frequent.select(strings.strip_dashes(F.lower("affix")).alias("form"), "cnt", "merged_count", "affix_type").where("length(form) >= 2")
-    hf = hf.groupBy("form").agg(F.max("cnt").alias("freq"), F.max("merged_count").alias("merged"), F.array_sort(F.collect_set(F.when(F.col("affix_type") != "", F.col("affix_type")))).alias("kinds"))
-    return interps.join(hf, "form", "left")
+    return interps.join(frequent_forms(frequent).select("form", "freq", "merged", "kinds"), "form", "left")
+
 
+def substrings(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """``word, start, form``: where forms of a list occur in words. Only lengths the list has are cut out."""
+    known = forms.select("form").distinct()
+    at = with_sizes(words.select("word"), known, "form", "sizes").where("length(word) >= 2").select("word", "sizes", F.explode(F.expr("sequence(1, length(word) - 1)")).alias("i"))
+    sub = at.select("word", "i", F.explode(F.filter("sizes", lambda n: (n >= 2) & (n <= F.length("word") - F.col("i") + 1))).alias("n"))
+    return sub.select("word", (F.col("i") - 1).alias("start"), F.expr("substring(word, i, n)").alias("form")).join(known, "form", "left_semi")
 
-def hits(words: DataFrame, index: DataFrame) -> DataFrame:
-    """``word, hits``: where each known form occurs in each word."""
-    at = words.select("word", F.explode(F.expr("case when length(word) >= 2 then sequence(1, length(word) - 1) else array() end")).alias("i"))
-    sub = at.select("word", "i", F.explode(F.expr(f"sequence(2, least({MAX_FORM}, length(word) - i + 1))")).alias("n")).select("word", (F.col("i") - 1).alias("start"), F.expr("substring(word, i, n)").alias("form"))
-    found = sub.join(index, "form").select("word", F.struct("start", "form", "interps", "freq", "merged", "kinds").alias("h"))
+
+def hits(words: DataFrame, index: DataFrame, meanings: bool = True) -> DataFrame:
+    """``word, hits``: where each known form occurs in each word. Without ``meanings`` interpretations are numbered (``k``) in their place."""
+    index = index if meanings else index.withColumn("interps", F.transform("interps", lambda x, k: F.struct(x["pos"].alias("pos"), x["opt"].alias("opt"), x["src"].alias("src"), k.alias("k"))))
+    found = substrings(words, index).join(index, "form").select("word", F.struct("start", "form", "interps", "freq", "merged", "kinds").alias("h"))
     got = found.groupBy("word").agg(F.collect_list("h").alias("hits"))
     return words.join(got, "word", "left")
 
@@ -159,17 +195,17 @@ LABEL = {"dict": "d", "affix": "a", "h": "h"}
 
 
 def segment_word(word: str, stage1: list[str] | None, found: list[dict] | None) -> dict:
-    """The two-stage segmentation of one lower-case word."""
+    """The two-stage segmentation of one lower-case word. ``k`` of a hit's interpretation is what it is known by; a part without one is unknown."""
     whole, parts = len(word), []
     if syllables(word) <= 1:
-        return {"stage1": None, "parts": [{"text": word, "source": "", "meaning": None, "lang": ""}]}
+        return {"stage1": None, "parts": [{"text": word, "source": "", "form": None, "k": None}]}
     usable: dict[int, list[tuple]] = {}
     exact: dict[tuple[int, int], tuple] = {}
     for h in found or ():
         n = len(h["form"])
         for x in h["interps"]:
             pos = tuple(x["pos"]) if x["pos"] is not None else ()
-            seen = (pos, x["opt"], x["src"], x["meaning"], x["lang"])
+            seen = (pos, x["opt"], x["src"], h["form"], x["k"])
             exact.setdefault((h["start"], n), seen)
             if allowed(pos, h["start"], n, whole) and allowed(h["kinds"], h["start"], n, whole):
                 usable.setdefault(h["start"], []).append((n, seen, bonus(h["freq"], h["merged"], bool(x["opt"]))))
@@ -183,10 +219,10 @@ def segment_word(word: str, stage1: list[str] | None, found: list[dict] | None)
             path = best_path(word, a, b, usable)
         fresh = True
         for s, e, hit in path:
-            if hit is None and parts and not fresh and parts[-1]["meaning"] is None:
+            if hit is None and parts and not fresh and parts[-1]["k"] is None:
                 parts[-1]["text"] += word[s:e]
             else:
-                parts.append({"text": word[s:e], "source": LABEL[hit[2]] if hit else "", "meaning": hit[3] if hit else None, "lang": (hit[4] or "") if hit else ""})
+                parts.append({"text": word[s:e], "source": LABEL[hit[2]] if hit else "", "form": hit[3] if hit else None, "k": hit[4] if hit else None})
             fresh = False
     return {"stage1": ".".join(stage1) if stage1 else None, "parts": parts}
 
@@ -198,15 +234,24 @@ def _segment(words: pd.Series, stage1: pd.Series, found: pd.Series) -> pd.DataFr
 
 
 def segment(words: DataFrame, index: DataFrame, chains: DataFrame) -> DataFrame:
-    """``word, stage1, parts`` of each distinct word; ``chains(word, parts)`` are its derivations."""
+    """``word, stage1, parts`` of each distinct word; ``chains(word, parts)`` are its derivations.
+
+    The search moves numbers of interpretations; meanings are joined to the few that were chosen.
+    """
     udf = F.pandas_udf(_segment, RESULT)
-    rows = hits(words.select("word").distinct(), index).join(chains.select("word", F.col("parts").alias("chain")), "word", "left")
-    return rows.select("word", udf("word", "chain", "hits").alias("r")).select("word", "r.stage1", "r.parts")
+    rows = hits(words.select("word").distinct(), index, meanings=False).join(chains.select("word", F.col("parts").alias("chain")), "word", "left")
+    cuts = written(rows.select("word", udf("word", "chain", "hits").alias("r")).select("word", "r.stage1", "r.parts"))
+    told = index.select("form", F.posexplode("interps").alias("k", "x")).select("form", "k", "x.meaning", "x.lang")
+    each = cuts.select("word", F.posexplode("parts").alias("i", "p")).select("word", "i", "p.text", "p.source", "p.form", "p.k")
+    named = each.where("k is not null").join(told, ["form", "k"]).unionByName(each.where("k is null").withColumns({"meaning": F.lit(None).cast("string"), "lang": F.lit("")}))
+    part = F.struct("text", "source", "meaning", F.coalesce("lang", F.lit("")).alias("lang"))
+    whole = named.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("p")))).alias("ps")).select("word", F.transform("ps", lambda x: x["p"]).alias("parts"))
+    return cuts.select("word", "stage1").join(whole, "word")
 
 
 def stem_of(parts):
     """The longest part with meaning and source, the first of equal ones."""
-    known = F.filter(parts, lambda p: p["meaning"].isNotNull() & (p["source"] != ""))
+    known = F.filter(parts, lambda p: (p["meaning"] != "") & (p["source"] != ""))
     ranked = F.transform(known, lambda p, i: F.struct((-F.length(p["text"])).alias("n"), i.alias("i"), p["text"].alias("text")))
     return F.array_min(ranked)["text"]
 
@@ -335,13 +380,24 @@ def boundary_scores(deriv: DataFrame) -> DataFrame:
     return at.groupBy(F.expr("substring(word, i, 2)").alias("pair")).agg(F.avg((F.col("i") == F.col("seam")).cast("double")).alias("p"))
 
 
-def scored_cut(words: DataFrame, scores: DataFrame, least: float = 0.44) -> DataFrame:
-    """``word, parts``: words cut where the score of a pair of letters reaches ``least``."""
+def scored_cut(words: DataFrame, score: Callable[[pd.Series], pd.Series] | DataFrame, least: float = 0.44) -> DataFrame:
+    """``word, parts``: words cut after each letter whose score reaches ``least``.
+
+    ``score`` is a function from a batch of words to the scores of their letters, such as a model's, or a table
+    ``pair, p`` of pairs of letters, which is joined.
+    """
+    cut_all = lambda ws, ss: pd.Series([cut_by_scores(w, list(s) if s is not None else [], least) for w, s in zip(ws, ss)])
+    if not isinstance(score, DataFrame):
+
+        def with_model(ws: pd.Series) -> pd.Series:
+            return cut_all(ws, score(ws))
+
+        return words.select("word", F.pandas_udf(with_model, "array<string>")("word").alias("parts"))
     at = words.where("length(word) >= 2").select("word", F.posexplode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))")).alias("i", "pair"))
-    seen = at.join(scores, "pair", "left").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("p", F.lit(0.0)).alias("p")))).alias("s"))
+    seen = at.join(score, "pair", "left").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("p", F.lit(0.0)).alias("p")))).alias("s"))
 
     def run(ws: pd.Series, ss: pd.Series) -> pd.Series:
-        return pd.Series([cut_by_scores(w, [x["p"] for x in s] if s is not None else [], least) for w, s in zip(ws, ss)])
+        return cut_all(ws, ss)
 
     udf = F.pandas_udf(run, "array<string>")
-    return words.join(seen, "word", "left").select("word", udf("word", F.transform("s", lambda x: F.struct(x["p"].alias("p")))).alias("parts"))
+    return words.join(seen, "word", "left").select("word", udf("word", F.transform("s", lambda x: x["p"])).alias("parts"))

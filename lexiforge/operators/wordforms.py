@@ -9,31 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.operators.segment import substrings
+
 
 def edit_difference(stem: str, word: str) -> list[str]:
     """Letters not shared along a shortest edit, from the end: match before substitution (both letters), deletion, insertion."""
-    m, n = len(stem), len(word)
-    cost = [list(range(n + 1))]
-    for i in range(1, m + 1):
-        row = [i]
-        for j in range(1, n + 1):
-            row.append(cost[i - 1][j - 1] if stem[i - 1] == word[j - 1] else 1 + min(cost[i - 1][j - 1], cost[i - 1][j], row[j - 1]))
-        cost.append(row)
-    out, i, j = [], m, n
-    while i or j:
-        here = cost[i][j]
-        both = i and j
-        if both and stem[i - 1] == word[j - 1]:
-            step = (1, 1, "")
-        elif both and here == cost[i - 1][j - 1] + 1:
-            step = (1, 1, stem[i - 1] + word[j - 1])
-        elif i and here == cost[i - 1][j] + 1:
-            step = (1, 0, stem[i - 1])
-        else:
-            step = (0, 1, word[j - 1])
-        out += step[2]
-        i, j = i - step[0], j - step[1]
-    return out or ["unknown"]
+    # what each beginning of the word costs, with the letters so far, for one beginning of the stem after the other
+    line = [(j, [*word[:j]][::-1]) for j in range(len(word) + 1)]
+    for i, a in enumerate(stem, 1):
+        above, line = line, [(i, [*stem[:i]][::-1])]
+        for j, b in enumerate(word, 1):
+            (cost, letters), new = min(((above[j - 1], [a, b]), (above[j], [a]), (line[j - 1], [b])), key=lambda x: x[0][0])
+            line.append(above[j - 1] if a == b else (cost + 1, new + letters))
+    return line[-1][1]
 
 
 def difference(stem: str, word: str) -> list[str]:
@@ -94,11 +82,29 @@ def highlight(stem: str, word: str, prefixes: set[str], suffixes: set[str], css:
     return out
 
 
-def highlighted(words: DataFrame, stem: str, prefixes: set[str], suffixes: set[str]) -> DataFrame:
-    def run(ws: pd.Series) -> pd.Series:
-        return pd.Series([highlight(stem, w, prefixes, suffixes) for w in ws], dtype=object)
+def highlighted(words: DataFrame, stem: str, affixes: DataFrame) -> DataFrame:
+    """``word, shown``: each word with the affixes (``affix, kind``) that occur in it, found by a join on its substrings."""
+
+    def run(ws: pd.Series, ps: pd.Series, ss: pd.Series) -> pd.Series:
+        return pd.Series([highlight(stem, w, set(p), set(s)) for w, p, s in zip(ws, ps, ss)], dtype=object)
 
-    return words.select("word", F.pandas_udf(run, "string")("word").alias("shown"))
+    inside = substrings(words, affixes.select(F.col("affix").alias("form"))).select("word", F.col("form").alias("affix")).distinct().join(affixes.select("affix", "kind").distinct(), "affix")
+    of = lambda kind: F.coalesce(F.collect_list(F.when(F.col("kind") == kind, F.col("affix"))), F.array().cast("array<string>")).alias(kind)
+    sides = inside.groupBy("word").agg(of("p"), of("s"))
+    none = F.array().cast("array<string>")
+    rows = words.join(sides, "word", "left").select("word", F.coalesce("p", none).alias("p"), F.coalesce("s", none).alias("s"))
+    return rows.select("word", F.pandas_udf(run, "string")("word", "p", "s").alias("shown"))
+
+
+def compile_combos(combos: Sequence[str]) -> list[re.Pattern]:
+    """The combinations that are regular expressions, without regard to case; what can't be compiled is skipped."""
+    out = []
+    for c in combos:
+        try:
+            out += [re.compile(c, re.IGNORECASE)] if c else []
+        except re.error:
+            continue
+    return out
 
 
 def differences(pairs: DataFrame) -> DataFrame:

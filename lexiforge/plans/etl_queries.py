@@ -26,7 +26,7 @@ def query(name: str, text: str | None = None):
 
 
 _RULES = (
-    "lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'segment_log'), "
+    "lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), "
     "pl AS (SELECT regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 1) AS word, regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 2) AS split FROM lines), "
     "rules AS (SELECT word, string_split(min(split), '.') AS segments FROM pl WHERE word <> '' GROUP BY word)"
 )

@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.functions import strings
 from lexiforge.operators import affixes, lexicon, notes, segment, wordforms
 from lexiforge.plans import sql
-from lexiforge.runtime import load
+from lexiforge.runtime import load, once
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,7 +26,6 @@ def query(name: str, text: str | None = None):
 
 
 _KNOWN = "known AS (SELECT DISTINCT lower(base) AS word FROM roots WHERE base IS NOT NULL UNION SELECT DISTINCT word FROM deriv)"
-_N = f"least({affixes.MAX_AFFIX}, length(word) - {{0}})"
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +42,8 @@ def _affixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BASE = f"{sql.COUNTS}, {sql.AFFIXES}, {_KNOWN}, w AS (SELECT word FROM lexc)"
-_PRE = "SELECT w.word, affix AS pre, substr(w.word, length(affix) + 1) AS rest FROM {0} w JOIN aff ON kind = 'p' AND starts_with(w.word, affix) AND length(affix) <= 12 AND length(w.word) - length(affix) >= {1}"
-_SUF = "SELECT w.word, substr(w.word, 1, length(w.word) - length(affix)) AS rest, affix AS suf FROM {0} w JOIN aff ON kind = 's' AND ends_with(w.word, affix) AND length(affix) <= 12 AND length(w.word) - length(affix) >= {1}"
+_PRE = "SELECT w.word, affix AS pre, substr(w.word, length(affix) + 1) AS rest FROM {0} w JOIN aff ON kind = 'p' AND starts_with(w.word, affix) AND length(w.word) - length(affix) >= {1}"
+_SUF = "SELECT w.word, substr(w.word, 1, length(w.word) - length(affix)) AS rest, affix AS suf FROM {0} w JOIN aff ON kind = 's' AND ends_with(w.word, affix) AND length(w.word) - length(affix) >= {1}"
 
 
 @query("prefix_splits", f"WITH {_BASE} {_PRE.format('w', 2)}")
@@ -100,27 +100,40 @@ def one_hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ENDS = " UNION ALL ".join(f"SELECT '{e}'" for e in [*affixes.COMMON_ENDINGS, ""])
+_VARIANTS = (
+    "ei AS (SELECT list_transform(string_split(roots, ','), lambda x: trim(x)) AS x FROM etym_dictionary WHERE roots <> ''), eb AS (SELECT regexp_replace(x[1], '^[=-]', '') AS base, unnest(list_filter(x[2:], lambda p: p <> '')) AS p FROM ei), "
+    "ev AS (SELECT CASE WHEN p LIKE '=%' OR p LIKE '-%' THEN base || substr(p, 2) ELSE p END AS v FROM eb UNION ALL SELECT regexp_replace(x[1], '^[=-]', '') FROM ei), "
+    "r AS (SELECT DISTINCT lower(ltrim(v, '-=')) AS root FROM ev WHERE length(ltrim(v, '-=')) >= 2)"
+)
 _ETYM = (
-    "r AS (SELECT DISTINCT lower(base) AS root FROM roots WHERE length(base) >= 3), sfx AS (SELECT DISTINCT affix AS suffix FROM aff WHERE kind = 's' UNION "
+    _VARIANTS + ", sfx AS (SELECT DISTINCT affix AS suffix FROM aff WHERE kind = 's' UNION "
     + _ENDS
-    + "), spans AS (SELECT word, unnest(generate_series(0, length(word) - 3)) AS i FROM w WHERE length(word) >= 3), "
-    "sub AS (SELECT word, i, unnest(generate_series(3, length(word) - i)) AS n FROM spans), "
-    "hit AS (SELECT word, i, n, substr(word, i + 1, n) AS root FROM sub WHERE substr(word, i + 1, n) IN (SELECT root FROM r)), "
-    "ph AS (SELECT word, substr(word, 1, i) AS prefix, root, i + n AS j FROM hit WHERE i = 0 OR substr(word, 1, i) IN (SELECT affix FROM aff WHERE kind = 'p')), "
-    "simple AS (SELECT word, prefix, root, '' AS root2, substr(word, j + 1) AS suffix, 2.0::DOUBLE * length(prefix) + 3 * length(root) + 2 * (length(word) - j) + 10 AS score FROM ph WHERE substr(word, j + 1) IN (SELECT suffix FROM sfx)), "
-    "dbl AS (SELECT a.word, '' AS prefix, a.root, b.root AS root2, substr(a.word, b.i + b.n + 1) AS suffix, 2.0::DOUBLE * length(a.root) + 3 * length(b.root) + 2 * (length(a.word) - b.i - b.n) + 15 AS score "
-    "FROM hit a JOIN hit b ON a.word = b.word AND a.i = 0 AND b.i = a.n WHERE substr(a.word, b.i + b.n + 1) IN (SELECT suffix FROM sfx)), "
-    "ety AS (SELECT * FROM simple UNION ALL SELECT * FROM dbl)"
+    + "), pfx AS (SELECT DISTINCT affix AS prefix FROM aff WHERE kind = 'p'), "
+    # every place where a root stands in a word, by containment
+    "occ AS (SELECT word, root, unnest(list_filter(generate_series(0, length(word) - length(root)), lambda i: substr(word, i + 1, length(root)) = root)) AS i FROM w JOIN r ON contains(word, root)), "
+    "cutup AS (SELECT word, substr(word, 1, i) AS prefix, root, substr(word, i + length(root) + 1) AS suffix, i FROM occ), "
+    "fit AS (SELECT * FROM cutup WHERE (prefix = '' OR prefix IN (SELECT prefix FROM pfx) AND length(word) - length(prefix) >= 2) AND suffix IN (SELECT suffix FROM sfx)), "
+    "one AS (SELECT word, prefix, root, '' AS root2, suffix, 2.0::DOUBLE * length(prefix) + 3 * length(root) + 2 * length(suffix) + 10 AS score, 1 AS tier FROM fit WHERE suffix <> '' OR length(prefix) >= 2), "
+    "two AS (SELECT a.word, '' AS prefix, a.root, b.root AS root2, b.suffix, 2.0::DOUBLE * length(a.root) + 3 * length(b.root) + 2 * length(b.suffix) + 15 AS score, 1 AS tier FROM cutup a JOIN cutup b ON a.word = b.word AND a.i = 0 AND b.i = length(a.root) "
+    "WHERE length(a.root) >= 3 AND length(b.root) >= 3 AND b.suffix IN (SELECT suffix FROM sfx)), "
+    "last AS (SELECT word, prefix, root, '' AS root2, '' AS suffix, 2.0::DOUBLE + 3 * length(root) AS score, 2 AS tier FROM fit WHERE suffix = '' AND length(prefix) = 1 AND length(root) >= 3), "
+    "ety AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM last)"
 )
+_BEST_ETYM = "be AS (SELECT word, prefix, root, root2, suffix, score FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY tier, score DESC, prefix DESC, root DESC, root2 DESC, suffix DESC) AS n FROM ety) WHERE n = 1)"
 
 
-@query(
-    "etym_analysis",
-    f"WITH {_BASE}, {_ETYM} SELECT word, prefix, root, root2, suffix, score FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, prefix DESC, root DESC, root2 DESC, suffix DESC) AS n FROM ety) WHERE n = 1",
-)
+def _etym_roots(spark: SparkSession, d: str) -> DataFrame:
+    return affixes.etym_variants(load(spark, d, "etym_dictionary", "roots"))
+
+
+@query("etym_roots", f"WITH {_VARIANTS} SELECT root FROM r")
+def etym_roots(spark: SparkSession, d: str) -> DataFrame:
+    return _etym_roots(spark, d)
+
+
+@query("etym_analysis", f"WITH {_BASE}, {_ETYM}, {_BEST_ETYM} SELECT * FROM be")
 def etym_analysis(spark: SparkSession, d: str) -> DataFrame:
-    roots = load(spark, d, "roots", "base").where("base is not null").select(F.lower("base").alias("root"))
-    return affixes.etym_analysis(_words(spark, d), roots, _affixes(spark, d))
+    return affixes.etym_analysis(_words(spark, d), _etym_roots(spark, d), _affixes(spark, d))
 
 
 @query(
@@ -131,17 +144,57 @@ def derivation_strategy(spark: SparkSession, d: str) -> DataFrame:
     return affixes.derivation_strategy(lexicon.derivations(spark, d))
 
 
-@query("inflections", f"WITH {sql.DERIV} SELECT word, arg_max(base, ord) AS lemma, arg_max(affix, ord) AS suffix FROM deriv WHERE kind = 's' AND affix <> '' GROUP BY word HAVING arg_max(affix, ord) <> arg_max(base, ord)")
+def _inflected(spark: SparkSession, d: str) -> DataFrame:
+    """The suffix derivations as entries of forms: their base is the lemma."""
+    rows = lexicon.derivations(spark, d).where("kind = 's'")
+    return affixes.inflections(rows.select(F.col("word").alias("form"), F.col("base").alias("lemma"), F.col("affix").alias("suffix"), "ord"))
+
+
+_INFL = (
+    "fe AS (SELECT word AS form, base AS lemma, affix AS suffix, ord FROM deriv WHERE kind = 's'), fp AS (SELECT form, coalesce(arg_min({'l': lemma, 's': suffix}, ord) FILTER (WHERE suffix <> ''), "
+    "arg_max({'l': lemma, 's': suffix}, ord) FILTER (WHERE lemma <> form), arg_min({'l': lemma, 's': suffix}, ord)) AS b FROM fe GROUP BY form), infl AS (SELECT form, b.l AS lemma, b.s AS suffix FROM fp)"
+)
+
+
+@query("inflections", f"WITH {sql.DERIV}, {_INFL} SELECT * FROM infl")
 def inflections(spark: SparkSession, d: str) -> DataFrame:
-    return affixes.inflections(lexicon.derivations(spark, d))
+    return _inflected(spark, d)
 
 
-@query("affix_analysis")
-def affix_analysis(spark: SparkSession, d: str) -> DataFrame:
+_FITS = (
+    "fits AS (SELECT * FROM deriv WHERE (kind = 's' AND ends_with(word, affix) OR kind = 'p' AND starts_with(word, affix)) AND abs(length(word) - length(affix) - length(base)) <= 2), "
+    "told AS (SELECT word, base, affix, kind FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY length(affix) DESC, affix DESC, base DESC, kind DESC) AS n FROM fits) WHERE n = 1)"
+)
+#: One analysis a word, as a display string ``scheme: part.part``, with the number of those found.
+_ANALYSES = (
+    f"{_FITS}, {_INFL}, {_RULES}, {_ETYM}, {_BEST_ETYM}, br AS (SELECT word, prefix, stem, suffix, score FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY tier, score DESC, coalesce(prefix, '') DESC, coalesce(suffix, '') DESC) AS n FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2)) WHERE n = 1), "
+    "o AS (SELECT * FROM told WHERE word IN (SELECT word FROM w)), ob AS (SELECT DISTINCT base AS word FROM o), "
+    f"h AS (SELECT word, rest AS base, suf AS affix, 's' AS kind FROM ({_SUF.format('ob', 3)}) UNION ALL SELECT word, rest, pre, 'p' FROM ({_PRE.format('ob', 3)})), "
+    "hop AS (SELECT word, base, affix, kind FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY kind DESC, length(affix) DESC) AS n FROM h WHERE base IN (SELECT word FROM known)) WHERE n = 1), "
+    "i AS (SELECT * FROM told WHERE word IN (SELECT word FROM ob) UNION ALL SELECT * FROM hop WHERE word NOT IN (SELECT word FROM told)), "
+    "pt AS (SELECT affix, greatest(3.0::DOUBLE, 0.5::DOUBLE * length(affix) + 2) AS p FROM (SELECT affix FROM o UNION SELECT affix FROM i)), "
+    "d AS (SELECT o.word, CASE WHEN i.base IS NOT NULL AND i.kind <> o.kind THEN 'combined' ELSE 'derivation' END AS strategy, "
+    "CASE WHEN i.base IS NOT NULL AND i.kind <> o.kind THEN CASE WHEN o.kind = 'p' THEN [o.affix, i.base, i.affix] ELSE [i.affix, i.base, o.affix] END WHEN o.kind = 's' THEN [o.base, o.affix] ELSE [o.affix, o.base] END AS parts, "
+    "CASE WHEN i.base IS NOT NULL AND i.kind <> o.kind THEN po.p + pi.p ELSE po.p END AS score, CASE WHEN i.base IS NULL THEN 1 ELSE 2 END AS found "
+    "FROM o JOIN pt po ON o.affix = po.affix LEFT JOIN i ON o.base = i.word LEFT JOIN pt pi ON i.affix = pi.affix), "
+    "f AS (SELECT form AS word, 'inflection' AS strategy, [lemma, suffix] AS parts, 3.0::DOUBLE AS score, 1 AS found FROM infl WHERE suffix <> '' AND suffix <> lemma AND form IN (SELECT word FROM w) AND form NOT IN (SELECT word FROM d)), "
+    "lw AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM d) AND word NOT IN (SELECT word FROM f)), isb AS (SELECT base AS word FROM deriv UNION SELECT lemma FROM infl), "
+    "l0 AS (SELECT lw.word, list_filter([br.prefix, br.stem, br.suffix], lambda x: x <> '') AS rp, br.score AS rs, list_filter([be.prefix, be.root, be.root2, be.suffix], lambda x: x <> '') AS ep, be.score AS es, "
+    "be.score IS NOT NULL AND be.score > coalesce(br.score, -1) AND (be.score >= 30 OR lw.word NOT IN (SELECT word FROM isb)) AS wins FROM lw LEFT JOIN br ON lw.word = br.word LEFT JOIN be ON lw.word = be.word), "
+    "l AS (SELECT word, CASE WHEN wins THEN 'etym' WHEN rs IS NOT NULL THEN 'rule' ELSE 'none' END AS strategy, CASE WHEN wins THEN ep WHEN rs IS NOT NULL THEN rp ELSE [word] END AS parts, "
+    "CASE WHEN wins THEN es WHEN rs IS NOT NULL THEN rs ELSE 0.0 END::DOUBLE AS score, CASE WHEN (wins OR rs IS NOT NULL) AND es IS NOT NULL AND rs IS NOT NULL THEN 2 ELSE 1 END AS found FROM l0)"
+)
+
+
+def _analysis(spark: SparkSession, d: str) -> DataFrame:
     deriv = lexicon.derivations(spark, d)
-    fits = deriv.where("(kind = 's' and endswith(word, affix) or kind = 'p' and startswith(word, affix)) and abs(length(word) - length(affix) - length(base)) <= 2")
-    roots = load(spark, d, "roots", "base").where("base is not null").select(F.lower("base").alias("root"))
-    return affixes.analyze(_words(spark, d), fits, roots, lexicon.affix_list(deriv), _known(spark, d))
+    fits = deriv.where(strings.derivation_fits(F.col("word"), F.col("base"), F.col("affix"), F.col("kind")))
+    return affixes.analyze(_words(spark, d), fits, _etym_roots(spark, d), lexicon.affix_list(deriv), _known(spark, d), _inflected(spark, d))
+
+
+@query("affix_analysis", f"WITH {_BASE}, {_ANALYSES} SELECT * FROM d UNION ALL SELECT * FROM f UNION ALL SELECT * FROM l")
+def affix_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d).select("word", "strategy", "parts", "score", F.size("strategies").alias("found"))
 
 
 @query("reverse_index", f"WITH {sql.REVERSE} SELECT word, base, affix, kind FROM rev")
@@ -160,9 +213,14 @@ def derivation_chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    roots = load(spark, d, "roots", "entry_id", "base", "meaning", "lang", "ety_meaning", "ety_lang", "forms")
-    forms = segment.root_forms(roots, load(spark, d, "affixes", "affix_id", "roots", "lang_code", "meaning"))
-    return segment.form_index(forms, load(spark, d, "anki_highfreq", "affix", "affix_type", "cnt", "merged_count"))
+    """The forms of the roots and affixes with their interpretations, built once for tables as they are."""
+
+    def make() -> DataFrame:
+        roots = load(spark, d, "roots", "entry_id", "base", "meaning", "lang", "ety_meaning", "ety_lang", "forms")
+        forms = segment.root_forms(roots, load(spark, d, "affixes", "affix_id", "roots", "lang_code", "meaning"))
+        return segment.form_index(forms, load(spark, d, "anki_highfreq", "affix", "affix_type", "cnt", "merged_count", "canonical", "variants"))
+
+    return once(spark, "form-index", [f"{d}/{t}.parquet" for t in ("roots", "affixes", "anki_highfreq")], make)
 
 
 @query("root_form_index")
@@ -170,10 +228,29 @@ def root_form_index(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).select("form", F.size("interps").alias("n"), "freq", "merged", "kinds")
 
 
+@query(
+    "frequent_forms",
+    "WITH a AS (SELECT trim(trim(lower(affix), '-')) AS form, coalesce(cnt, 0) AS n, CASE WHEN merged_count > 0 THEN merged_count ELSE coalesce(cnt, 0) END AS m, coalesce(canonical, trim(trim(lower(affix), '-'))) AS c, affix_type FROM anki_highfreq) "
+    "SELECT form, max(n)::BIGINT AS freq, max(m)::BIGINT AS merged, arg_max(c, {'m': m, 'c': c}) AS canonical, coalesce(list_sort(list(DISTINCT affix_type) FILTER (WHERE affix_type <> '')), []) AS kinds FROM a WHERE length(form) >= 2 GROUP BY form",
+)
+def frequent_forms(spark: SparkSession, d: str) -> DataFrame:
+    return segment.frequent_forms(load(spark, d, "anki_highfreq", "affix", "affix_type", "cnt", "merged_count", "canonical", "variants")).drop("variants")
+
+
+@query(
+    "shown_meanings",
+    "SELECT entry_id, CASE WHEN ety_meaning <> '' THEN 'dict' ELSE 'affix' END AS src, CASE WHEN ety_meaning <> '' AND NOT contains(lower(ety_meaning), 'see also') AND NOT contains(ety_meaning, ';;') THEN ety_meaning ELSE coalesce(meaning, '') END AS meaning, "
+    "CASE WHEN ety_meaning <> '' AND NOT contains(lower(ety_meaning), 'see also') AND NOT contains(ety_meaning, ';;') AND ety_lang <> '' THEN ety_lang ELSE coalesce(lang, '') END AS lang FROM roots",
+)
+def shown_meanings(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "roots", "entry_id", "meaning", "lang", "ety_meaning", "ety_lang")
+    return t.select("entry_id", segment.shown_meaning(F.col("ety_meaning"), F.col("ety_lang"), F.col("meaning"), F.col("lang")).alias("m")).select("entry_id", "m.*")
+
+
 @query("segmented_words")
 def segmented_words(spark: SparkSession, d: str) -> DataFrame:
-    chains = affixes.chains(lexicon.reverse_index(lexicon.derivations(spark, d)))
-    return segment.segment(_words(spark, d), _index(spark, d), chains)
+    words = _words(spark, d)
+    return segment.segment(words, _index(spark, d), affixes.chains(lexicon.reverse_index(lexicon.derivations(spark, d)), words=words))
 
 
 @query("stems_of_words")
@@ -184,10 +261,10 @@ def stems_of_words(spark: SparkSession, d: str) -> DataFrame:
 def _per_word(spark: SparkSession, d: str, f, schema: str) -> DataFrame:
     """A segmenter run on each word with the affixes and roots that occur in it, found by joins."""
     words, aff = _words(spark, d), _affixes(spark, d)
-    at = words.select("word", F.explode(F.expr("case when length(word) >= 2 then sequence(1, length(word) - 1) else array() end")).alias("i"))
-    sub = at.select("word", F.explode(F.expr(f"transform(sequence(2, least({segment.MAX_FORM}, length(word) - i + 1)), n -> substring(word, i, n))")).alias("form")).distinct()
     roots = load(spark, d, "roots", "base").where("base is not null").select(F.lower("base").alias("form"), F.lit("r").alias("kind")).distinct()
-    inside = sub.join(aff.select(F.col("affix").alias("form"), "kind").unionByName(roots), "form").groupBy("word").agg(F.collect_set(F.struct("kind", "form")).alias("k"))
+    every = aff.select(F.col("affix").alias("form"), "kind").unionByName(roots)
+    sub = segment.substrings(words, every).select("word", "form").distinct()
+    inside = sub.join(every, "form").groupBy("word").agg(F.collect_set(F.struct("kind", "form")).alias("k"))
     of = lambda kind: F.transform(F.filter("k", lambda x: x["kind"] == kind), lambda x: x["form"])
     none = F.array().cast("array<string>")
     rows = words.join(inside, "word", "left").select("word", *[F.coalesce(of(k), none).alias(k) for k in "psr"])
@@ -242,17 +319,13 @@ def word_differences(spark: SparkSession, d: str) -> DataFrame:
 
 @query("highlighted_words")
 def highlighted_words(spark: SparkSession, d: str) -> DataFrame:
-    """The affixes are those of the derivation table, a list checked to stay under 10,000."""
-    rows = _affixes(spark, d).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("too many affixes")
-    sides = {k: {r["affix"] for r in rows if r["kind"] == k} for k in "ps"}
-    return wordforms.highlighted(_words(spark, d).where(F.col("word").contains("or")), "or", sides["p"], sides["s"])
+    return wordforms.highlighted(_words(spark, d).where(F.col("word").contains("or")), "or", _affixes(spark, d))
 
 
 @query("cleaned_notes")
 def cleaned_notes(spark: SparkSession, d: str) -> DataFrame:
-    t = load(spark, d, "documents", "doc_id", "headword", "text", "source").where("source = 'card_export' and text is not null")
+    """Every text as the note of its head word."""
+    t = load(spark, d, "documents", "doc_id", "headword", "text").where("text is not null")
     packed = t.select(F.col("doc_id").alias("id"), F.concat_ws("\x1f", F.coalesce("headword", F.lit("")), F.lit(""), F.lit(""), "text").alias("flds"))
     return notes.clean_notes(notes.read_notes(packed))
 

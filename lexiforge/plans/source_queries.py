@@ -58,7 +58,7 @@ def block_directory(spark: SparkSession, d: str) -> DataFrame:
     return ends.agg(F.sum("end").alias("bytes"))
 
 
-@query("json_lines", "SELECT word, string_split(split, '.') AS segments FROM (SELECT DISTINCT regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 1) AS word, regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 2) AS split FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'segment_log')) WHERE word <> ''")
+@query("json_lines", "SELECT word, string_split(split, '.') AS segments FROM (SELECT DISTINCT regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 1) AS word, regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 2) AS split FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE word <> ''")
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
     """Written as JSON lines with unreadable lines among them, and read back."""
     at = _place(spark)

@@ -1,6 +1,6 @@
 """The derived tables of the queries, as common table expressions of the SQL side."""
 
-TOKENS = "tok AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en')"
+TOKENS = "tok AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"
 COUNTS = f"{TOKENS}, lexc AS (SELECT word, count(*) AS cnt FROM tok GROUP BY word)"
 LEX = f"{COUNTS}, lex AS (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word) AS frequency FROM lexc)"
 INDEX = (

@@ -56,10 +56,10 @@ def positions_allowed(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "stem_highlights",
     "SELECT doc_id, CASE WHEN i > 0 AND length(headword) > 0 THEN substr(t, 1, i - 1) || '<span class=\"stem\">' || substr(t, i, length(headword)) || '</span>' || substr(t, i + length(headword)) ELSE t END AS shown "
-    "FROM (SELECT doc_id, headword, text AS t, instr(lower(text), lower(headword)) AS i FROM documents WHERE lang = 'en' AND headword IS NOT NULL AND text IS NOT NULL AND length(text) = length(lower(text)))",
+    "FROM (SELECT doc_id, headword, text AS t, instr(lower(text), lower(headword)) AS i FROM documents WHERE headword IS NOT NULL AND text IS NOT NULL AND length(text) = length(lower(text)))",
 )
 def stem_highlights(spark: SparkSession, d: str) -> DataFrame:
-    t = load(spark, d, "documents", "doc_id", "text", "headword", "lang").where("lang = 'en' and length(text) = length(lower(text)) and headword is not null")
+    t = load(spark, d, "documents", "doc_id", "text", "headword").where("length(text) = length(lower(text)) and headword is not null")
     return t.select("doc_id", strings.stem_highlight(F.col("text"), F.col("headword")).alias("shown"))
 
 
@@ -252,12 +252,12 @@ def short_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "parsed_segments",
-    "WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'segment_log'), "
+    "WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), "
     "parts AS (SELECT trim(regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 1)) AS word, regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 2) AS split FROM lines) "
     "SELECT DISTINCT word, string_split(split, '.') AS segments FROM parts WHERE word <> ''",
 )
 def parsed_segments(spark: SparkSession, d: str) -> DataFrame:
-    lines = load(spark, d, "documents", "text", "source").where("source = 'segment_log'").select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = load(spark, d, "documents", "text").select(F.explode(F.split("text", "\n")).alias("line"))
     at = r"^(\w+) = ([\w.]+) \["
     parts = lines.select(F.regexp_extract("line", at, 1).alias("word"), F.regexp_extract("line", at, 2).alias("split")).where("word != ''")
     return parts.select("word", strings.parse_segments(F.col("split")).alias("segments")).distinct()

@@ -7,8 +7,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
@@ -62,3 +64,25 @@ def written(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+_BUILT: dict[tuple, tuple] = {}
+
+
+def state_of(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, sizes and times of the files of some tables, summed up: another state if any of them changes. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
+def once(spark: SparkSession, name: str, paths: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from others, written to the shared folder the first time it is asked for in a session and again only if their files change."""
+    key = (spark.sparkContext.applicationId, name, *paths)
+    state = state_of(spark, paths)
+    if key not in _BUILT or _BUILT[key][0] != state:
+        df = make()
+        at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        _BUILT[key] = (state, at, df.schema)
+    _, at, schema = _BUILT[key]
+    return spark.read.schema(schema).parquet(at)

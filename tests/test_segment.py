@@ -4,8 +4,8 @@ from hypothesis import strategies as st
 from lexiforge.operators import segment as S
 
 
-def hit(form, start, src="dict", opt=False, pos=(), meaning="m", freq=None):
-    return {"form": form, "start": start, "interps": [{"pos": list(pos), "opt": opt, "src": src, "meaning": meaning, "lang": "L"}], "freq": freq, "merged": None, "kinds": None}
+def hit(form, start, src="dict", opt=False, pos=(), freq=None):
+    return {"form": form, "start": start, "interps": [{"pos": list(pos), "opt": opt, "src": src, "k": 0}], "freq": freq, "merged": None, "kinds": None}
 
 
 def hits(word, forms, **kw):
@@ -17,7 +17,7 @@ def texts(word, forms, stage1=None, **kw):
 
 
 def test_one_syllable_is_whole():
-    assert S.segment_word("strength", None, hits("strength", ["str"]))["parts"] == [{"text": "strength", "source": "", "meaning": None, "lang": ""}]
+    assert S.segment_word("strength", None, hits("strength", ["str"]))["parts"] == [{"text": "strength", "source": "", "form": None, "k": None}]
 
 
 def test_forms_cover_as_much_as_possible():

@@ -31,6 +31,30 @@ def test_notes_in_spark(spark):
     assert [(r.id, r.segmentation, r.related) for r in rows] == [(1, "chi.lly", ["chi.lli"])]
 
 
+def test_related_words_of_the_whole_note(spark):
+    raw = spark.createDataFrame([(1, "extradition\x1f\x1f\x1fsee de.fect for x; ex.tra.dition rest")], "id bigint, flds string")
+    got = notes.clean_notes(notes.read_notes(raw)).first()
+    assert got.segmentation == "ex.tra.dition" and got.related == ["de.fect", "fect", "rest"]
+
+
+def test_edit_difference_is_a_shortest_edit():
+    rng = __import__("random").Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+        letters = wordforms.edit_difference(a, b)
+        assert d[-1][-1] <= len(letters) <= 2 * d[-1][-1]
+    assert wordforms.edit_difference("abcd", "axce") == ["d", "e", "b", "x"] and wordforms.edit_difference("", "ab") == ["b", "a"]
+
+
+def test_combos():
+    found = wordforms.compile_combos(["^ing$", "(", "", "AT"])
+    assert len(found) == 2 and wordforms.score("plan", "planning", set(), found) == 1 and wordforms.score("situ", "situation", set(), found) == 0
+
+
 def test_differences():
     assert wordforms.difference("situ", "situation") == ["ation"]
     assert wordforms.difference("situation", "situ") == ["ation"]
