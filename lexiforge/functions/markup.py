@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import html as html_text
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# The class names and tags below are fixed values: those of the entries' markup.
 
 
 def _some(text: Column) -> Column:
@@ -54,16 +61,19 @@ def extract_all(html: Column) -> Column:
     return F.struct(definition(html).alias("definition"), verb_forms(html).alias("verb_forms"), noun_forms(html).alias("noun_forms"))
 
 
-# The entities that occur in notes.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html_text.unescape, na_action="ignore")
+
+
+def unescape(text: Column) -> Column:
+    """Character references read, named ones by the full list of HTML 5 and numeric ones by number; only texts with an ampersand leave the JVM."""
+    return F.when(text.contains("&"), _unescaped(F.when(text.contains("&"), text))).otherwise(text)
 
 
 def clean_html(html: Column) -> Column:
     """Entities read, tags and runs of blanks made one blank, trimmed."""
-    text = html
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(drop_tags(text, " "), r"[\s\x{A0}]+", " "))
+    return F.trim(F.regexp_replace(drop_tags(unescape(html), " "), r"[\s\x{A0}]+", " "))
 
 
 def fix_resource_paths(html: Column, root: str = "/static/") -> Column:

@@ -22,6 +22,17 @@ def affix_position(dashed: Column) -> Column:
     return F.when(dashed.startswith("-") & dashed.endswith("-"), "root").when(dashed.startswith("-"), "suffix").when(dashed.endswith("-"), "prefix")
 
 
+def dashed(form: Column, kind: Column) -> Column:
+    """``-x-`` for a root, ``x-`` for a prefix, ``-x`` for a suffix, else as it is; null for an empty form."""
+    marked = F.when(kind == "root", F.concat(F.lit("-"), form, F.lit("-"))).when(kind == "prefix", F.concat(form, F.lit("-"))).when(kind == "suffix", F.concat(F.lit("-"), form)).otherwise(form)
+    return F.when(form != "", marked)
+
+
+def positions_shown(kinds: Column) -> Column:
+    """Positions in order, joined by strokes; ``-`` for none."""
+    return F.when(F.size(kinds) > 0, F.array_join(F.array_sort(kinds), "/")).otherwise("-")
+
+
 def secondary_score(freq: Column, merged: Column, optional: Column) -> Column:
     """Bonus of a form by its frequency, or by that of its group; optional forms lose half a point."""
     score = (
@@ -106,9 +117,14 @@ def line_overlap(a: Column, b: Column) -> Column:
     return F.when((a["lang"] == b["lang"]) & (least > 0), F.size(F.array_intersect(a["tokens"], b["tokens"])) / least)
 
 
-def longer_by_one(a: Column, b: Column) -> Column:
-    """Whether two forms differ by exactly one inserted character."""
-    return (F.abs(F.length(a) - F.length(b)) == 1) & (F.levenshtein(a, b) == 1)
+def inserted(a: Column, b: Column) -> Column:
+    """``longer, place, letter`` if one form is the other with one letter put in, after ``place`` letters that both begin with; else null."""
+    longer, shorter = F.when(F.length(a) > F.length(b), a).otherwise(b), F.when(F.length(a) > F.length(b), b).otherwise(a)
+    sides = F.transform(F.array(F.struct(longer.alias("l"), shorter.alias("s"))), lambda x: F.struct(x["l"].alias("l"), x["s"].alias("s"), F.size(F.filter(F.sequence(F.lit(0), F.length(x["s"])), lambda i: x["l"].startswith(F.substring(x["s"], F.lit(1), i)))).alias("n")))
+    one = F.get(sides, F.lit(0))
+    place = one["n"] - 1
+    fits = (F.abs(F.length(a) - F.length(b)) == 1) & (F.substring(one["l"], place + 2, F.length(one["l"])) == F.substring(one["s"], place + 1, F.length(one["l"])))
+    return F.when(fits, F.struct(one["l"].alias("longer"), place.alias("place"), F.substring(one["l"], place + 1, F.lit(1)).alias("letter")))
 
 
 def derivation_fits(word: Column, base: Column, affix: Column, kind: Column) -> Column:

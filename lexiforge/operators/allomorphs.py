@@ -79,13 +79,23 @@ def gate(edges: DataFrame, node_table: DataFrame) -> DataFrame:
 
     comparable = any_pair(lambda x, y: strings.line_overlap(x, y).isNotNull())
     enough = any_pair(lambda x, y: (strings.line_overlap(x, y) >= MIN_OVERLAP) & ((F.col("kind") != "assimilation") | (F.size(F.array_intersect(x["tokens"], y["tokens"])) >= 2)))
-    merge = F.when((F.size("ta") == 0) | (F.size("tb") == 0), False).when(enough, True).when(comparable, False)
-    return both.select("a", "b", "pos", "kind", merge.alias("merge"), F.least("ra", "rb").alias("rank"))
-
-
-def review(gated: DataFrame) -> DataFrame:
-    """Edges held back that touch a trusted node."""
-    return gated.where("not coalesce(merge, false) and rank <= 1")
+    unglossed = (F.size("ta") == 0) | (F.size("tb") == 0)
+    merge = F.when(unglossed, False).when(enough, True).when(comparable, False)
+    reason = F.when(unglossed, "no_gloss").when(enough, "overlap").when(comparable, "differs").otherwise("other_language")
+    return both.select("a", "b", "pos", "kind", merge.alias("merge"), reason.alias("reason"), F.least("ra", "rb").alias("rank"))
+
+
+def review(gated: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+    """Edges held back that touch a trusted node, for reasons other than a missing gloss; with ``examples`` (``form, pos, word, n``) those of each side in order."""
+    held = gated.where("not coalesce(merge, false) and rank <= 1 and reason != 'no_gloss'")
+    if examples is None:
+        return held
+    listed = examples.groupBy("form", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("ex"))
+    none = F.array().cast("array<string>")
+    for side in ("a", "b"):
+        held = held.join(listed.select(F.col("form").alias(side), "pos", F.col("ex").alias(f"examples_{side}")), [side, "pos"], "left")
+        held = held.withColumn(f"examples_{side}", F.coalesce(f"examples_{side}", none))
+    return held
 
 
 def labels(edges: DataFrame) -> DataFrame:

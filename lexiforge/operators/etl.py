@@ -108,3 +108,19 @@ def restored(rows: DataFrame, snapshot: DataFrame, key: str, value: str) -> Data
     """Values of the keys of a snapshot set back to null."""
     marked = rows.join(snapshot.select(key).distinct().withColumn("_was_null", F.lit(True)), key, "left")
     return marked.withColumn(value, F.when(F.col("_was_null").isNull(), F.col(value))).drop("_was_null")
+
+
+def mismatch_classes(want: DataFrame, got: DataFrame) -> DataFrame:
+    """``word, cls``: how a segmentation (``word, stage1, parts``, as shown) differs from the wanted one: EXACT, PARTS, STAGE1 or BOTH; a missing stage is equal to a missing one."""
+    j = want.select("word", F.col("stage1").alias("s"), F.col("parts").alias("p")).join(got.select("word", "stage1", "parts"), "word")
+    same1, same2 = F.col("s").eqNullSafe(F.col("stage1")), F.col("p").eqNullSafe(F.col("parts"))
+    cls = F.when(same1 & same2, "EXACT").when(same1, "PARTS").when(same2, "STAGE1").otherwise("BOTH")
+    return j.select("word", cls.alias("cls"))
+
+
+def score_lines(classes: DataFrame) -> DataFrame:
+    """``line``: the report of a scoring, of fixed width: one line a class, the share of exact ones on the last."""
+    n = classes.groupBy("cls").agg(F.count("*").alias("n"))
+    each = n.select(F.format_string("%-10s%8d", "cls", "n").alias("line"))
+    total = classes.agg(F.count("*").alias("n"), F.count_if(F.col("cls") == "EXACT").alias("e")).where("n > 0")
+    return each.unionByName(total.select(F.format_string("%-10s%7.1f%%", F.lit("score"), 100.0 * F.col("e") / F.col("n")).alias("line")))

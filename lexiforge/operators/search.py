@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.functions import strings
 from lexiforge.functions.patterns import compile_pattern, has_wildcard, like_pattern, star_regex
+from lexiforge.operators import lexicon
 
 MAX_RESULTS, PAGE_SIZE, SUGGESTIONS = 50, 10, 10
 
@@ -101,23 +105,76 @@ def known_words(words: DataFrame, lex: DataFrame) -> DataFrame:
     return words.where(F.length("word") >= 2).join(lex.select("word"), "word", "left_semi")
 
 
-def related_score(stem: str, word: Column, known: Column) -> Column:
-    """One for each remainder before and after the stem that is neither empty nor a known affix."""
-    at = F.instr(word, F.lit(stem))
-    before = F.substring(word, F.lit(1), at - 1)
-    after = F.substring(word, at + len(stem), F.length(word))
-    odd = lambda part: F.when((part == "") | F.array_contains(known, part), 0).otherwise(1)
-    return F.when(word == stem, 0).otherwise(odd(before) + odd(after))
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``side, word``: words of one result only."""
+    first = a.select("word").exceptAll(b.select("word")).select(F.lit("first").alias("side"), "word")
+    return first.unionByName(b.select("word").exceptAll(a.select("word")).select(F.lit("second").alias("side"), "word"))
+
 
+def morpheme_report(forms: DataFrame | None, frequent: DataFrame, pattern: str) -> DataFrame:
+    """``n, src, form, base, pos, meaning, example, total, forms``: root forms (of a form index) and frequent affixes that match, roots first, in order.
 
-def related(lex: DataFrame, stem: str, affixes: DataFrame, max_results: int = MAX_RESULTS) -> DataFrame:
+    A report of what one pattern finds, numbered as it is shown; frequent affixes are shown as written.
+    """
+    none = F.lit(None).cast("string")
+    form = F.lower(strings.strip_dashes(F.col("affix")))
+    pos = F.when(F.col("affix_type") != "", F.col("affix_type")).otherwise("-")
+    found = frequent.select(F.lit(1).alias("o"), F.lit("affix").alias("src"), form.alias("form"), F.col("affix").alias("base"), pos.alias("pos"), "meaning", "example", F.col("hf_id").alias("id")).where("form != ''")
+    if forms is not None:
+        each = forms.select("form", F.posexplode("interps").alias("id", "x"))
+        roots = each.select(F.lit(0).alias("o"), F.col("x.src").alias("src"), "form", "form", F.col("id").cast("bigint").alias("id"), "x.meaning", "x.pos").toDF("o", "src", "form", "base", "id", "meaning", "p")
+        found = roots.select("o", "src", "form", "base", strings.positions_shown(F.col("p")).alias("pos"), "meaning", none.alias("example"), "id").unionByName(found)
+    hits = star_search(found, "form", pattern)
+    totals = hits.agg(F.count("*").alias("total"), F.count_distinct("form").alias("forms"))
+    numbered = lexicon.ranked(hits, [F.asc("o"), F.asc("form"), F.asc("base"), F.asc("src"), F.asc("id")], "n")
+    return numbered.crossJoin(F.broadcast(totals)).select("n", "src", "form", "base", "pos", "meaning", "example", "total", "forms")
+
+
+def longest_of_each(rows: DataFrame, kinds: list[str], k: int) -> DataFrame:
+    """``kind, form, n``: the ``k`` longest forms of each kind (``kind, form, id``), kinds as listed; each task passes on ``k`` rows a kind."""
+    parts = None
+    for kind in kinds:
+        top = rows.where(F.col("kind") == kind).orderBy(F.desc(F.length("form")), "form", "id").limit(k)
+        # at most k rows
+        one = top.agg(F.array_sort(F.collect_list(F.struct((-F.length("form")).alias("l"), "form", "id", "kind"))).alias("x")).select(F.posexplode("x").alias("i", "r"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.select("r.kind", "r.form", (F.col("i") + 1).cast("bigint").alias("n"))
+
+
+def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``form, meaning``: the new entry of each form (``form, meaning, id``), the last one with a meaning, else the old one."""
+    last = lambda t: t.where("form is not null and meaning is not null").groupBy("form").agg(F.max_by("meaning", "id").alias("meaning"))
+    news = last(new)
+    return news.unionByName(last(old).join(news, "form", "left_anti"))
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def explained(part: str, combos: list[re.Pattern]) -> Column:
+    """Whether a remainder is empty, a known affix (joined as ``k_<part>``) or matched by a combination."""
+    by_combo = F.lit(False)
+    for c in combos:
+        by_combo = by_combo | F.col(part).rlike(f"(?i)(?:{c.pattern})")
+    return (F.col(part) == "") | F.col(f"k_{part}").isNotNull() | by_combo
+
+
+def related(lex: DataFrame, stem: str, affixes: DataFrame, combos: list[str] | None = None, max_results: int = MAX_RESULTS) -> DataFrame:
     """``word, score, frequency``: of the best ranked words around the stem, three times as many as wanted, those with the fewest odd remainders.
 
-    ``affixes`` (one column) is folded into one array by an aggregate; it is a list of affixes, checked to stay under 10,000.
+    A remainder before or after the stem costs one unless it is an affix (``affixes``, one column, joined) or a combination explains it;
+    what is no regular expression is skipped.
     """
-    stem = stem.lower()
+    from lexiforge.operators.wordforms import compile_combos
+
+    stem, found = stem.lower(), compile_combos(combos or [])
     near = lex.where(F.col("word").contains(stem) & (F.col("word") != stem)).orderBy("frequency", "word").limit(3 * max_results)
-    known = affixes.agg(F.collect_set(affixes.columns[0]).alias("known"))
-    known = known.select(F.when(F.size("known") < 10_000, F.col("known")).otherwise(F.raise_error(F.lit("too many affixes"))).alias("known"))
-    scored = near.crossJoin(F.broadcast(known)).select("word", related_score(stem, F.col("word"), F.col("known")).alias("score"), "frequency")
+    at = F.instr("word", F.lit(stem))
+    parts = near.select("word", "frequency", F.substring(F.col("word"), F.lit(1), at - 1).alias("before"), F.substring(F.col("word"), at + len(stem), F.length("word")).alias("after"))
+    known = affixes.select(F.lower(affixes.columns[0]).alias("affix")).distinct()
+    for part in ("before", "after"):
+        parts = parts.join(known.select(F.col("affix").alias(part), F.lit(True).alias(f"k_{part}")), part, "left")
+    odd = [F.when(explained(p, found), 0).otherwise(1) for p in ("before", "after")]
+    scored = parts.select("word", (odd[0] + odd[1]).alias("score"), "frequency")
     return scored.orderBy("score", F.asc_nulls_last("frequency"), "word").limit(max_results)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import strings
@@ -245,24 +245,27 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 #: All pairs, as the slow definition the generated keys must equal; on the SQL side only.
 _LEGACY_PADS = (
-    "SELECT x.form AS a, y.form AS b, x.pos FROM nd x JOIN nd y ON x.pos = y.pos AND length(y.form) = length(x.form) + 1 AND (x.pos <> 'root' AND levenshtein(x.form, y.form) = 1 OR x.pos = 'root' AND starts_with(y.form, x.form))"
+    "SELECT a, b, pos, CASE WHEN k > 0 AND substr(b, k, 1) = substr(b, k + 1, 1) THEN 'elide' ELSE 'pad' END AS kind FROM (SELECT x.form AS a, y.form AS b, x.pos, list_max(list_filter(generate_series(0, length(x.form)), lambda i: substr(x.form, 1, i) = substr(y.form, 1, i))) AS k "
+    "FROM nd x JOIN nd y ON x.pos = y.pos AND length(y.form) = length(x.form) + 1 AND (x.pos <> 'root' AND levenshtein(x.form, y.form) = 1 OR x.pos = 'root' AND starts_with(y.form, x.form)))"
 )
 
 
 @query("graph_pads", f"WITH {_NODES} {_LEGACY_PADS}")
 def graph_pads(spark: SparkSession, d: str) -> DataFrame:
-    return allomorphs.pad_edges(_nodes(spark, d).select("form", "pos")).select("a", "b", "pos")
+    return allomorphs.pad_edges(_nodes(spark, d).select("form", "pos")).select("a", "b", "pos", "kind")
 
 
 _CONS = "[^aeiouy]"
 
 
-@query(
-    "graph_assimilations",
-    f"WITH {_NODES} SELECT DISTINCT x.form AS a, y.form AS b, x.pos FROM nd x JOIN nd y ON x.pos = y.pos AND length(x.form) = length(y.form) AND x.form < y.form AND "
+_LEGACY_ASSIMILATIONS = (
+    "SELECT DISTINCT x.form AS a, y.form AS b, x.pos FROM nd x JOIN nd y ON x.pos = y.pos AND length(x.form) = length(y.form) AND x.form < y.form AND "
     f"(substr(x.form, 1, length(x.form) - 1) = substr(y.form, 1, length(y.form) - 1) AND regexp_matches(right(x.form, 1), '{_CONS}') AND regexp_matches(right(y.form, 1), '{_CONS}') "
-    f"OR x.pos <> 'root' AND substr(x.form, 2) = substr(y.form, 2) AND regexp_matches(left(x.form, 1), '{_CONS}') AND regexp_matches(left(y.form, 1), '{_CONS}'))",
+    f"OR x.pos <> 'root' AND substr(x.form, 2) = substr(y.form, 2) AND regexp_matches(left(x.form, 1), '{_CONS}') AND regexp_matches(left(y.form, 1), '{_CONS}'))"
 )
+
+
+@query("graph_assimilations", f"WITH {_NODES} {_LEGACY_ASSIMILATIONS}")
 def graph_assimilations(spark: SparkSession, d: str) -> DataFrame:
     return allomorphs.assimilation_edges(_nodes(spark, d).select("form", "pos")).select("a", "b", "pos")
 
@@ -271,23 +274,54 @@ def _gated(spark: SparkSession, d: str, n: DataFrame) -> DataFrame:
     return allomorphs.gate(allomorphs.rule_edges(n), n)
 
 
-@query("graph_gate")
+_STOP = ", ".join(f"'{w}'" for w in strings.EN_STOP)
+_TOKENS = (
+    "CASE WHEN regexp_matches(l, '[\\x{4E00}-\\x{9FFF}]') THEN list_filter(regexp_split_to_array(l, '[；;，,。、/·.…\\s\\d()（）_\\-]+'), lambda t: regexp_matches(t, '[\\x{4E00}-\\x{9FFF}]')) "
+    f"ELSE list_filter(regexp_extract_all(lower(l), '[a-z]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP})) END"
+)
+_GATE = (
+    f"{_NODES}, eg AS ({_LEGACY_PADS} UNION ALL SELECT *, 'assimilation' AS kind FROM ({_LEGACY_ASSIMILATIONS})), ln AS (SELECT form, pos, unnest(lines) AS l FROM nd), "
+    f"lt AS (SELECT form, pos, regexp_matches(l, '[\\x{{4E00}}-\\x{{9FFF}}]') AS cn, list_distinct({_TOKENS}) AS t FROM ln), "
+    "lp AS (SELECT a, b, eg.pos, kind, x.cn = y.cn AND least(len(x.t), len(y.t)) > 0 AS fit, len(list_intersect(x.t, y.t)) AS inter, least(len(x.t), len(y.t)) AS small FROM eg JOIN lt x ON x.form = a AND x.pos = eg.pos JOIN lt y ON y.form = b AND y.pos = eg.pos), "
+    "lv AS (SELECT a, b, pos, kind, bool_or(fit) AS comparable, bool_or(fit AND inter / small >= 0.5 AND (kind <> 'assimilation' OR inter >= 2)) AS enough FROM lp GROUP BY ALL), "
+    "gt AS (SELECT eg.a, eg.b, eg.pos, eg.kind, CASE WHEN comparable IS NULL THEN FALSE WHEN enough THEN TRUE WHEN comparable THEN FALSE END AS merge, "
+    "CASE WHEN comparable IS NULL THEN 'no_gloss' WHEN enough THEN 'overlap' WHEN comparable THEN 'differs' ELSE 'other_language' END AS reason, least(p.rank, q.rank) AS rank "
+    "FROM eg LEFT JOIN lv ON eg.a = lv.a AND eg.b = lv.b AND eg.pos = lv.pos AND eg.kind = lv.kind JOIN nd p ON p.form = eg.a AND p.pos = eg.pos JOIN nd q ON q.form = eg.b AND q.pos = eg.pos)"
+)
+_EXAMPLES = (
+    "tw AS (SELECT affix AS form, CASE WHEN kind = 'p' THEN 'prefix' ELSE 'suffix' END AS pos, word, min(length(word)) AS trust FROM deriv GROUP BY ALL), "
+    "te AS (SELECT form, pos, word, n FROM (SELECT form, pos, word, row_number() OVER (PARTITION BY form, pos ORDER BY trust, word)::INT AS n FROM tw) WHERE n <= 4)"
+)
+_GROUPED = (
+    f"{_GATE}, me AS (SELECT a || '@' || pos AS a, b || '@' || pos AS b, kind FROM gt WHERE merge), bo AS (SELECT a, b FROM me UNION SELECT b, a FROM me), "
+    "re(v, u) AS (SELECT a, a FROM bo UNION SELECT v, b FROM re JOIN bo ON u = a), lb AS (SELECT v, min(u) AS label FROM re GROUP BY v), "
+    "nl AS (SELECT nd.*, coalesce(label, form || '@' || pos) AS label FROM nd LEFT JOIN lb ON v = form || '@' || pos), ke AS (SELECT label, list_sort(list(DISTINCT kind)) AS edge_types FROM me JOIN lb ON v = a GROUP BY label), "
+    "gr AS (SELECT arg_min(form, {'r': rank, 'c': -cnt, 'l': -length(form), 'f': form}) AS canonical, pos, list_sort(list(DISTINCT form)) AS variants, sum(cnt)::BIGINT AS cnt, min(rank) AS rank, label FROM nl GROUP BY label, pos), "
+    "gs AS (SELECT canonical, pos, variants, cnt, rank, coalesce(edge_types, []) AS edge_types FROM gr LEFT JOIN ke USING (label))"
+)
+
+
+@query("graph_gate", f"WITH {_GATE} SELECT * FROM gt")
 def graph_gate(spark: SparkSession, d: str) -> DataFrame:
     return _gated(spark, d, _nodes(spark, d))
 
 
-@query("graph_review")
+@query(
+    "graph_review",
+    f"WITH {_GATE}, {_EXAMPLES} SELECT gt.*, coalesce((SELECT list(word ORDER BY n) FROM te WHERE te.form = a AND te.pos = gt.pos), []) AS examples_a, coalesce((SELECT list(word ORDER BY n) FROM te WHERE te.form = b AND te.pos = gt.pos), []) AS examples_b "
+    "FROM gt WHERE merge IS NOT TRUE AND rank <= 1 AND reason <> 'no_gloss'",
+)
 def graph_review(spark: SparkSession, d: str) -> DataFrame:
-    return allomorphs.review(_gated(spark, d, _nodes(spark, d)))
+    return allomorphs.review(_gated(spark, d, _nodes(spark, d)), top_examples(spark, d))
 
 
-@query("graph_groups")
+@query("graph_groups", f"WITH RECURSIVE {_GROUPED} SELECT * FROM gs")
 def graph_groups(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d)
     return allomorphs.groups(n, _gated(spark, d, n))
 
 
-@query("graph_lookup")
+@query("graph_lookup", f"WITH RECURSIVE {_GROUPED} SELECT v || '@' || pos AS key, canonical FROM (SELECT unnest(variants) AS v, pos, canonical FROM gs)")
 def graph_lookup(spark: SparkSession, d: str) -> DataFrame:
     return allomorphs.lookup_table(graph_groups(spark, d))
 
@@ -335,3 +369,50 @@ def related_report(spark: SparkSession, d: str) -> DataFrame:
     top = t.groupBy("base").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "base").limit(20)
     few = t.join(top, "base").groupBy("base", "n").agg(F.slice(F.array_sort(F.collect_set("affix")), 1, 5).alias("affixes"))
     return few.select("base", "n", "affixes")
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    """The splits of the rules, as wanted, against those of the cards; the first stage is the derivation as the table has it first and last."""
+    t = lexicon.derivations(spark, d)
+    step = lambda best: t.groupBy("word").agg(best(F.concat_ws(".", "base", "affix"), "ord").alias("stage1"))
+    shown = lambda df: df.select("word", F.array_join("segments", ".").alias("parts"))
+    return etl.mismatch_classes(shown(_rules(spark, d)).join(step(F.min_by), "word", "left"), shown(_cards(spark, d)).join(step(F.max_by), "word", "left"))
+
+
+_CLASSES = (
+    f"{_SPLITS}, st AS (SELECT word, arg_min(base || '.' || affix, ord) AS s1, arg_max(base || '.' || affix, ord) AS s2 FROM deriv GROUP BY word), "
+    "cl AS (SELECT r.word, CASE WHEN s1 = s2 AND r.segments = c.segments THEN 'EXACT' WHEN s1 = s2 THEN 'PARTS' WHEN r.segments = c.segments THEN 'STAGE1' ELSE 'BOTH' END AS cls FROM rules r JOIN cards c ON r.word = c.word JOIN st ON st.word = r.word)"
+)
+
+
+@query("mismatch_classes", f"WITH {_CLASSES} SELECT * FROM cl")
+def mismatch_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _classes(spark, d)
+
+
+@query(
+    "score_report",
+    f"WITH {_CLASSES} SELECT rpad(cls, 10, ' ') || lpad(count(*)::VARCHAR, 8, ' ') AS line FROM cl GROUP BY cls UNION ALL SELECT 'score     ' || lpad(format('{{:.1f}}', 100.0 * count_if(cls = 'EXACT') / count(*)), 7, ' ') || '%' FROM cl HAVING count(*) > 0",
+)
+def score_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report as lines of fixed width."""
+    return etl.score_lines(_classes(spark, d))
+
+
+@query(
+    "validity_report",
+    f"WITH {sql.DERIV}, c AS (SELECT word, base, CASE WHEN kind = 's' AND NOT ends_with(word, affix) OR kind = 'p' AND NOT starts_with(word, affix) THEN 'other_side' WHEN abs(length(word) - length(affix) - length(base)) > 2 THEN 'other_length' ELSE 'valid' END AS cls FROM deriv) "
+    "SELECT cls, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM c), 2) AS percent, count(DISTINCT base) AS bases, list_sort(list(DISTINCT word))[1:3] AS examples FROM c GROUP BY cls",
+)
+def validity_report(spark: SparkSession, d: str) -> DataFrame:
+    """The derivations by what is wrong with them, with three words of each class."""
+    t = lexicon.derivations(spark, d)
+    side = F.when(F.col("kind") == "s", F.endswith("word", "affix")).otherwise(F.startswith("word", "affix"))
+    fits = F.abs(F.length("word") - F.length("affix") - F.length("base")) <= 2
+    c = t.select("word", "base", F.when(~side, "other_side").when(~fits, "other_length").otherwise("valid").alias("cls"))
+    each = c.groupBy("cls").agg(F.count("*").alias("n"), F.count_distinct("base").alias("bases"))
+    order = Window.partitionBy("cls").orderBy("word")
+    # a rank limit: each task passes on three words of a class
+    few = c.select("cls", "word").distinct().withColumn("i", F.row_number().over(order)).where("i <= 3").groupBy("cls").agg(F.array_sort(F.collect_list("word")).alias("examples"))
+    total = c.agg(F.count("*").alias("all"))
+    return each.join(few, "cls").crossJoin(F.broadcast(total)).select("cls", "n", F.round(100.0 * F.col("n") / F.col("all"), 2).alias("percent"), "bases", "examples")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.functions import patterns, strings
-from lexiforge.operators import lexicon, search
+from lexiforge.functions import strings
+from lexiforge.operators import lexicon, request, search
 from lexiforge.plans import sql
 from lexiforge.runtime import load
 
@@ -24,20 +24,57 @@ def query(name: str, text: str | None = None):
     return put
 
 
-#: name -> pattern; each is searched with a cap of 50 and counted without one.
+def _any_pair(end: str, pairs: str) -> str:
+    return f"len(list_filter([{pairs}], lambda p: {end})) > 0"
+
+
+# What the placeholders stand for, written out once more for the SQL side.
+_PAIRS = "'ai', 'ay', 'ee', 'ea', 'oa', 'oo', 'ie', 'ei', 'ey', 'au', 'aw', 'ow', 'ou', 'oi', 'oy', 'ue', 'ui', 'eu', 'ew', 'oe'"
+_TWO = (
+    "'sp', 'st', 'tr', 'cr', 'gr', 'fr', 'pr', 'br', 'dr', 'pl', 'bl', 'cl', 'fl', 'gl', 'sl', 'sc', 'sk', 'sm', 'sn', 'sw', "
+    "'tw', 'dw', 'qu', 'kn', 'wr', 'wh', 'th', 'ch', 'sh', 'ph', 'gn', 'rh'"
+)
+_THREE = "'str', 'spr', 'scr', 'spl', 'thr', 'shr', 'squ', 'sph', 'sch'"
+
+#: name -> pattern, and what it means in SQL; each is searched with a cap of 50.
 PATTERNS = {
-    "suffix": "*tion", "leading": "pre*", "middle": "*tic*", "single": "c.t*", "vowel": "cAn*", "vowel_pair": "*AAt*", "consonants": "TT*ing",
-    "cluster3": "TTT*", "class": "[a-c]*[!x]t", "range": "p[a-o]*ly", "negated": "ep^i*", "product": "TTAA*", "literal": "the", "none": "zzzzz*",
-}
+    "suffix": ("*ing", "word GLOB '*ing'"),
+    "leading": ("pre*", "starts_with(word, 'pre')"),
+    "middle": ("*tic*", "contains(word, 'tic')"),
+    "single": ("c.t*", "word LIKE 'c_t%'"),
+    "vowel": ("cAn*", "word GLOB 'c[aeiou]n*'"),
+    "vowel_pair": ("*AAt*", _any_pair("contains(word, p || 't')", _PAIRS)),
+    "consonants": ("TT*ing", _any_pair("starts_with(word, p) AND ends_with(word, 'ing') AND length(word) >= 5", _TWO)),
+    "cluster3": ("TTT*", _any_pair("starts_with(word, p)", _THREE)),
+    "class": ("[a-c]*[^x]t", "substr(word, 1, 1) IN ('a', 'b', 'c') AND length(word) >= 3 AND right(word, 1) = 't' AND substr(right(word, 2), 1, 1) <> 'x'"),
+    "range": ("p[a-o]*l*", "substr(word, 1, 1) = 'p' AND substr(word, 2, 1) BETWEEN 'a' AND 'o' AND instr(substr(word, 3), 'l') > 0"),
+    "negated": ("re^i*", "starts_with(word, 're') AND length(word) >= 3 AND substr(word, 3, 1) <> 'i'"),
+    "product": ("TTAA*", _any_pair(f"starts_with(word, p) AND substr(word, 3, 2) IN ({_PAIRS})", _TWO)),
+    "literal": ("the", "word = 'the'"),
+    "none": ("zzzzz*", "starts_with(word, 'zzzzz')"),
+}
+
 
+def _search_sql(condition: str, limit: str = "LIMIT 50") -> str:
+    return f"WITH {sql.LEX} SELECT word, min(frequency) AS frequency FROM lex WHERE {condition} GROUP BY word ORDER BY frequency, word {limit}"
 
-def _search_sql(pattern: str, limit: str = "LIMIT 50") -> str:
-    body = patterns.compile_pattern(pattern).body.replace("'", "''")
-    return f"WITH {sql.LEX} SELECT word, min(frequency) AS frequency FROM lex WHERE regexp_full_match(word, '(?s){body}') GROUP BY word ORDER BY frequency, word {limit}"
 
+for _name, (_pattern, _condition) in PATTERNS.items():
+    query(f"search_{_name}", _search_sql(_condition))(lambda spark, d, p=_pattern: search.search(lexicon.lexicon(spark, d), p))
 
-for _name, _pattern in PATTERNS.items():
-    query(f"search_{_name}", _search_sql(_pattern))(lambda spark, d, p=_pattern: search.search(lexicon.lexicon(spark, d), p))
+
+@query("search_symmetric", f"WITH {sql.LEX} SELECT CASE WHEN starts_with(word, 'tr') THEN 'first' ELSE 'second' END AS side, word FROM lex WHERE (starts_with(word, 'tr') AND NOT ends_with(word, 't')) OR (NOT starts_with(word, 'tr') AND ends_with(word, 't'))")
+def search_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    """What one of two patterns finds and the other doesn't."""
+    lex = lexicon.lexicon(spark, d)
+    return search.symmetric_difference(search.search(lex, "tr*", None), search.search(lex, "*t", None))
+
+
+@query("search_bare", f"WITH {sql.LEX} SELECT 'first' AS side, word FROM lex WHERE FALSE")
+def search_bare(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern without brackets and the same with them find the same words."""
+    lex = lexicon.lexicon(spark, d)
+    return search.symmetric_difference(search.search(lex, "cAn*"), search.search(lex, "c[A]n*"))
 
 
 @query("ranked_list", f"WITH {sql.LEX} SELECT word, cnt, frequency FROM lex")
@@ -50,17 +87,14 @@ def word_min_rank(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.word_index(spark, d).groupBy(F.lower("word").alias("word")).agg(F.min("row_id").alias("frequency"))
 
 
-@query(
-    "search_all_patterns",
-    "WITH " + sql.LEX + " SELECT word, min(frequency) AS frequency FROM lex WHERE " + " OR ".join(f"regexp_full_match(word, '(?s){patterns.compile_pattern(p).body}')" for p in ("*pig*", "*ing*", "*qu*")) + " GROUP BY word ORDER BY frequency, word LIMIT 50",
-)
+@query("search_all_patterns", _search_sql("contains(word, 'pig') OR contains(word, 'ing') OR contains(word, 'qu')"))
 def search_all_patterns(spark: SparkSession, d: str) -> DataFrame:
     return search.search_any(lexicon.lexicon(spark, d), ["*pig*", "*ing*", "*qu*"])
 
 
-@query("search_total", f"WITH {sql.COUNTS} SELECT count(*) AS total_exact, least(count(*), 50) AS total_capped FROM lexc WHERE word LIKE '%tic%'")
+@query("search_total", f"WITH {sql.COUNTS} SELECT count(*) AS total_exact, least(count(*), 50) AS total_capped FROM lexc WHERE word LIKE '%or%'")
 def search_total(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_total(lexicon.word_counts(spark, d).withColumn("frequency", F.lit(0)), "*tic*")
+    return search.search_total(lexicon.word_counts(spark, d).withColumn("frequency", F.lit(0)), "*or*")
 
 
 @query("search_like", f"WITH {sql.INDEX} SELECT row_id, word, word_lower, cnt FROM idx WHERE word_lower LIKE 'c_m%' ORDER BY row_id LIMIT 50")
@@ -78,15 +112,25 @@ def search_roots_star(spark: SparkSession, d: str) -> DataFrame:
     return search.star_search(load(spark, d, "roots", "entry_id", "base"), "base", "B*t")
 
 
+_HF = "hf AS (SELECT trim(trim(lower(affix), '-')) AS form, affix, affix_type, meaning, example, hf_id FROM high_freq_affixes WHERE trim(trim(affix, '-')) <> '')"
+
+
 @query(
     "search_morphemes",
-    "SELECT 'root' AS src, base AS form, meaning FROM roots WHERE regexp_full_match(lower(base), '.*ar.*t') UNION ALL "
-    "SELECT 'affix', trim(trim(affix, '-')), meaning FROM high_freq_affixes WHERE regexp_full_match(lower(trim(trim(affix, '-'))), '.*ar.*t')",
+    f"WITH {_HF}, m AS (SELECT * FROM hf WHERE regexp_full_match(form, '.*ar.*')) SELECT 'affix' AS src, form, affix AS base, CASE affix_type WHEN 'prefix' THEN 'prefix' WHEN 'suffix' THEN 'suffix' ELSE coalesce(nullif(affix_type, ''), '-') END AS pos, meaning, example, "
+    "(SELECT count(*) FROM m) AS total, (SELECT count(DISTINCT form) FROM m) AS forms, row_number() OVER (ORDER BY form, affix, hf_id) AS n FROM m",
 )
 def search_morphemes(spark: SparkSession, d: str) -> DataFrame:
-    a = load(spark, d, "roots", "base", "meaning").select(F.lit("root").alias("src"), F.col("base").alias("form"), "meaning")
-    b = load(spark, d, "high_freq_affixes", "affix", "meaning").select(F.lit("affix").alias("src"), strings.strip_dashes(F.col("affix")).alias("form"), "meaning")
-    return search.star_search(a.unionByName(b), "form", "*ar*t")
+    """The report of a star search over the frequent affixes: sorted, with the totals."""
+    return search.morpheme_report(None, load(spark, d, "high_freq_affixes", "hf_id", "affix", "affix_type", "meaning", "example"), "*ar*")
+
+
+@query("search_root_report")
+def search_root_report(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the root forms and the frequent affixes."""
+    from lexiforge.plans.morph_queries import form_index_of
+
+    return search.morpheme_report(form_index_of(spark, d), load(spark, d, "high_freq_affixes", "hf_id", "affix", "affix_type", "meaning", "example"), "*ar*t*")
 
 
 @query(
@@ -174,21 +218,56 @@ def page_numbers(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.lexicon(spark, d).select("word", "frequency", (start + 1).alias("page"), (at % 10 + 1).alias("row_in_page"), on_page.alias("ranked_on_page"))
 
 
-@query(
-    "enriched_page",
-    f"WITH {sql.LEX}, hits AS (SELECT word, frequency FROM lex WHERE word LIKE '%orin%' ORDER BY frequency, word LIMIT 50), "
-    "html AS (SELECT lower(headword) AS word, arg_min(text, doc_id) AS html FROM documents WHERE text LIKE '<div class=\"gdc\">%' GROUP BY 1) "
-    "SELECT hits.word, frequency, coalesce(trim(regexp_extract(html, '<span class=\"ipa\">([^<]*)</span>', 1)), '') AS ipa, html IS NOT NULL AS has_full FROM hits LEFT JOIN html USING (word)",
+_ENTRY = "html AS (SELECT lower(headword) AS word, arg_min(text, doc_id) AS html FROM documents WHERE text LIKE '<div class=\"gdc\">%' AND headword IS NOT NULL GROUP BY 1)"
+_SHORT = "regexp_replace(regexp_extract(html, '<div class=\"coca2\">([^\\n]*?)</div>', 1), '<[^>]*>', '', 'g')"
+_BLOCK = "regexp_replace(regexp_extract(html, '(?s)<div class=\"gdc\">(.*?)</div>.*?</div>', 1), '<[^>]*>', '', 'g')"
+_PAGE = (
+    f"WITH {sql.LEX}, hits AS (SELECT word, frequency FROM lex WHERE contains(word, 'orin') ORDER BY frequency, word LIMIT 50), total AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / 10.0))::INT AS pages FROM hits), "
+    "pg AS (SELECT *, row_number() OVER (ORDER BY frequency, word) AS n FROM hits), one AS (SELECT pg.*, total, pages FROM pg, total WHERE (n - 1) // 10 = least(2, pages) - 1), "
+    f"{_ENTRY}, pe AS (SELECT one.*, html, instr(one.word, 'orin') AS i FROM one LEFT JOIN html USING (word)) "
+    "SELECT word, frequency, (n - 1) % 10 + 1 AS n, least(2, pages) AS page, pages, total, substr(word, 1, i - 1) || '<span class=\"hit\">orin</span>' || substr(word, i + 4) AS shown, "
+    f"coalesce(trim(regexp_extract(html, '<span class=\"ipa\">([^<]*)</span>', 1)), '') AS ipa, coalesce(nullif(trim({_SHORT}), ''), nullif(trim({_BLOCK}), ''), '') AS summary, "
+    "nullif(trim(regexp_replace(regexp_split_to_array(regexp_replace(regexp_extract(html, '(?s)<div class=\"coca2\">(.*?)</div>', 1), '<[^>]*>', '', 'g'), '[,，]')[1], '[(（][^)）]*[)）]', '', 'g')), '') AS definition, html IS NOT NULL AS has_full FROM pe"
 )
+
+
+def entries_of(spark: SparkSession, d: str) -> DataFrame:
+    """``word, html``: the first dictionary entry of each head word."""
+    docs = load(spark, d, "documents", "doc_id", "headword", "text").where(F.col("text").startswith('<div class="gdc">') & F.col("headword").isNotNull())
+    return docs.groupBy(F.lower("headword").alias("word")).agg(F.min_by("text", "doc_id").alias("html"))
+
+
+@query("enriched_page", _PAGE)
 def enriched_page(spark: SparkSession, d: str) -> DataFrame:
-    """The hits are cut to the page before they are joined to the entries."""
-    from lexiforge.functions import markup
+    """The second page of a pattern's hits with what is shown of each."""
+    return request.pattern_page(lexicon.lexicon(spark, d), entries_of(spark, d), "*orin*", 2)
+
+
+def _engine(spark: SparkSession, d: str):
+    from lexiforge.engine import Engine
 
-    hits = search.search(lexicon.lexicon(spark, d), "*orin*")
-    docs = load(spark, d, "documents", "doc_id", "headword", "text").where(F.col("text").startswith('<div class="gdc">'))
-    html = docs.groupBy(F.lower("headword").alias("word")).agg(F.min_by("text", "doc_id").alias("html"))
-    joined = hits.join(html, "word", "left")
-    return joined.select("word", "frequency", F.coalesce(markup.ipa(F.col("html")), F.lit("")).alias("ipa"), F.col("html").isNotNull().alias("has_full"))
+    return Engine(spark, d)
+
+
+@query(
+    "request_suggestions",
+    f"WITH {sql.INDEX} SELECT 'suggestion' AS kind, row_number() OVER (ORDER BY row_id) AS n, word, NULL AS shown, NULL AS text, row_id AS frequency, NULL::INT AS score FROM idx WHERE starts_with(word_lower, 'qua') ORDER BY row_id LIMIT 10",
+)
+def request_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """A request for what is no word: words that begin alike."""
+    return _engine(spark, d).request("Qua")
+
+
+@query("request_word")
+def request_word(spark: SparkSession, d: str) -> DataFrame:
+    """A request for a word, here the longest head word: its entry, its parts, and words related to the stem, marked."""
+    top = load(spark, d, "documents", "headword").where("headword is not null").select(F.lower("headword").alias("w")).orderBy(F.desc(F.length("w")), "w").first()
+    return _engine(spark, d).request(top["w"] if top else "a")
+
+
+@query("request_pattern", "SELECT 'hit' AS kind, n, word, shown, summary AS text, frequency, NULL::INT AS score FROM (" + _PAGE + ")")
+def request_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d).request("*orin*", 2)
 
 
 def _related_sql(stem: str) -> str:
@@ -200,12 +279,22 @@ def _related_sql(stem: str) -> str:
     )
 
 
-for _stem in ("ravelod", "heart", "or"):
+for _stem in ("ravelod", "lead", "or"):
 
     @query(f"related_{_stem}", _related_sql(_stem))
     def related(spark: SparkSession, d: str, stem=_stem) -> DataFrame:
         affixes = lexicon.affix_list(lexicon.derivations(spark, d)).select("affix")
-        return search.related(lexicon.lexicon(spark, d), stem, affixes, 30)
+        return search.related(lexicon.lexicon(spark, d), stem, affixes, max_results=30)
+
+
+@query(
+    "related_combos",
+    _related_sql("or").replace("b = '' OR b IN (SELECT affix FROM aff)", "b = '' OR b IN (SELECT affix FROM aff) OR b LIKE '%qu%' OR b LIKE '%in'").replace("a = '' OR a IN (SELECT affix FROM aff)", "a = '' OR a IN (SELECT affix FROM aff) OR a LIKE '%qu%' OR a LIKE '%in'"),
+)
+def related_combos(spark: SparkSession, d: str) -> DataFrame:
+    """Remainders are also explained by combinations given as regular expressions; those that are none are skipped."""
+    affixes = lexicon.affix_list(lexicon.derivations(spark, d)).select("affix")
+    return search.related(lexicon.lexicon(spark, d), "or", affixes, combos=["qu", "in$", "(unclosed", ""], max_results=30)
 
 
 @query(
@@ -226,32 +315,30 @@ def duplicate_forms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "morphemes_by_type",
-    "SELECT * FROM (SELECT affix_type, trim(trim(affix, '-')) AS form, row_number() OVER (PARTITION BY affix_type ORDER BY length(trim(trim(affix, '-'))) DESC, trim(trim(affix, '-')), hf_id) AS n "
-    "FROM high_freq_affixes WHERE affix_type IN ('prefix', 'suffix') AND affix IS NOT NULL) WHERE n <= 20",
+    "WITH m AS (SELECT affix_type AS kind, trim(trim(affix, '-')) AS form, hf_id AS id FROM high_freq_affixes WHERE affix_type IN ('prefix', 'suffix') AND affix IS NOT NULL UNION ALL SELECT 'root', trim(base), entry_id FROM roots WHERE base IS NOT NULL) "
+    "SELECT * FROM (SELECT kind, form, row_number() OVER (PARTITION BY kind ORDER BY length(form) DESC, form, id) AS n FROM m) WHERE n <= 20",
 )
 def morphemes_by_type(spark: SparkSession, d: str) -> DataFrame:
-    """The longest forms of each type: a limit a type, so the sort keeps twenty rows a task and none of the rest is shuffled."""
+    """The longest forms of each type."""
     t = load(spark, d, "high_freq_affixes", "hf_id", "affix", "affix_type").where("affix is not null")
-    parts = []
-    for kind in ("prefix", "suffix"):
-        rows = t.where(F.col("affix_type") == kind).select("affix_type", strings.strip_dashes(F.col("affix")).alias("form"), "hf_id")
-        top = rows.orderBy(F.desc(F.length("form")), "form", "hf_id").limit(20)
-        parts.append(top.agg(F.collect_list(F.struct((-F.length("form")).alias("l"), "form", "hf_id", "affix_type")).alias("x")))
-    both = parts[0].unionByName(parts[1]).select(F.posexplode(F.array_sort("x")).alias("i", "r"))
-    return both.select("r.affix_type", "r.form", (F.col("i") + 1).cast("bigint").alias("n"))
+    roots = load(spark, d, "roots", "entry_id", "base").where("base is not null")
+    rows = t.where(F.col("affix_type").isin("prefix", "suffix")).select(F.col("affix_type").alias("kind"), strings.strip_dashes(F.col("affix")).alias("form"), F.col("hf_id").alias("id"))
+    return search.longest_of_each(rows.unionByName(roots.select(F.lit("root").alias("kind"), F.trim("base").alias("form"), F.col("entry_id").alias("id"))), ["prefix", "suffix", "root"], 20)
 
 
 @query(
     "upsert_affixes",
-    "WITH new AS (SELECT affix_id AS id, trim(trim(lower(roots), '-')) AS form, meaning FROM affixes WHERE roots IS NOT NULL), n1 AS (SELECT form, arg_max(meaning, id) AS meaning FROM (SELECT * FROM new WHERE meaning IS NOT NULL) GROUP BY form), "
-    "old AS (SELECT trim(trim(lower(affix), '-')) AS form, arg_max(meaning, hf_id) AS meaning FROM high_freq_affixes WHERE affix IS NOT NULL AND meaning IS NOT NULL GROUP BY 1) "
-    "SELECT form, meaning FROM n1 UNION ALL SELECT form, meaning FROM old WHERE form NOT IN (SELECT form FROM n1)",
+    "WITH new AS (SELECT affix_id AS id, trim(trim(lower(roots), '-')) AS bare, CASE WHEN trim(roots) LIKE '-%-' THEN 'root' WHEN trim(roots) LIKE '-%' THEN 'suffix' WHEN trim(roots) LIKE '%-' THEN 'prefix' END AS kind, meaning FROM affixes WHERE roots IS NOT NULL), "
+    "nd AS (SELECT CASE kind WHEN 'root' THEN '-' || bare || '-' WHEN 'prefix' THEN bare || '-' WHEN 'suffix' THEN '-' || bare ELSE bare END AS form, id, meaning FROM new WHERE bare <> ''), n1 AS (SELECT form, arg_max(meaning, id) AS meaning FROM nd WHERE meaning IS NOT NULL GROUP BY form), "
+    "od AS (SELECT CASE affix_type WHEN 'root' THEN '-' || trim(trim(lower(affix), '-')) || '-' WHEN 'prefix' THEN trim(trim(lower(affix), '-')) || '-' WHEN 'suffix' THEN '-' || trim(trim(lower(affix), '-')) ELSE trim(trim(lower(affix), '-')) END AS form, hf_id, meaning FROM high_freq_affixes WHERE trim(trim(affix, '-')) <> ''), "
+    "old AS (SELECT form, arg_max(meaning, hf_id) AS meaning FROM od WHERE meaning IS NOT NULL GROUP BY 1) SELECT form, meaning FROM n1 UNION ALL SELECT form, meaning FROM old WHERE form NOT IN (SELECT form FROM n1)",
 )
 def upsert_affixes(spark: SparkSession, d: str) -> DataFrame:
-    """New entries replace old ones of the same form; the old ones without a new entry stay."""
-    new = load(spark, d, "affixes", "affix_id", "roots", "meaning").dropna().groupBy(strings.strip_dashes(F.lower("roots")).alias("form")).agg(F.max_by("meaning", "affix_id").alias("meaning"))
-    old = load(spark, d, "high_freq_affixes", "hf_id", "affix", "meaning").dropna().groupBy(strings.strip_dashes(F.lower("affix")).alias("form")).agg(F.max_by("meaning", "hf_id").alias("meaning"))
-    return new.unionByName(old.join(new, "form", "left_anti"))
+    """New entries replace old ones of the same dashed form (``-x-``, ``x-``, ``-x`` by type); the old ones without a new entry stay."""
+    kind = strings.affix_position(F.trim("roots"))
+    new = load(spark, d, "affixes", "affix_id", "roots", "meaning").select(strings.dashed(strings.strip_dashes(F.lower("roots")), kind).alias("form"), "meaning", F.col("affix_id").alias("id"))
+    old = load(spark, d, "high_freq_affixes", "hf_id", "affix", "affix_type", "meaning").select(strings.dashed(strings.strip_dashes(F.lower("affix")), F.col("affix_type")).alias("form"), "meaning", F.col("hf_id").alias("id"))
+    return search.upserted(old, new)
 
 
 @query(
@@ -263,7 +350,9 @@ def quality_filters(spark: SparkSession, d: str) -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.count_if(F.col("meaning").isNull()).alias("nulls"), F.count_if(F.col("meaning") == "").alias("empties"), F.count_if(F.trim(F.coalesce("meaning", F.lit(""))) != "").alias("filled"))
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT count(*) AS n, count(*) AS known FROM (SELECT entry_id FROM roots LIMIT 20)")
 def sample_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty rows drawn by a seeded hash: the same ones on any cluster."""
-    return load(spark, d, "roots", "entry_id", "base").orderBy(F.xxhash64(F.lit(42), "entry_id")).limit(20)
+    """Twenty rows drawn by a seeded hash, the same ones on any cluster; how many there are, and how many of them are in the table."""
+    t = load(spark, d, "roots", "entry_id", "base")
+    drawn = search.sampled(t, "entry_id", 20)
+    return drawn.agg(F.count("*").alias("n")).crossJoin(drawn.join(t.select("entry_id"), "entry_id", "left_semi").agg(F.count("*").alias("known")))

@@ -186,15 +186,15 @@ _ANALYSES = (
 )
 
 
-def _analysis(spark: SparkSession, d: str) -> DataFrame:
+def analysis_of(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
     deriv = lexicon.derivations(spark, d)
     fits = deriv.where(strings.derivation_fits(F.col("word"), F.col("base"), F.col("affix"), F.col("kind")))
-    return affixes.analyze(_words(spark, d), fits, _etym_roots(spark, d), lexicon.affix_list(deriv), _known(spark, d), _inflected(spark, d))
+    return affixes.analyze(words, fits, _etym_roots(spark, d), lexicon.affix_list(deriv), _known(spark, d), _inflected(spark, d))
 
 
 @query("affix_analysis", f"WITH {_BASE}, {_ANALYSES} SELECT * FROM d UNION ALL SELECT * FROM f UNION ALL SELECT * FROM l")
 def affix_analysis(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark, d).select("word", "strategy", "parts", "score", F.size("strategies").alias("found"))
+    return analysis_of(spark, d, _words(spark, d)).select("word", "strategy", "parts", "score", F.size("strategies").alias("found"))
 
 
 @query("reverse_index", f"WITH {sql.REVERSE} SELECT word, base, affix, kind FROM rev")
@@ -212,7 +212,7 @@ def derivation_chains(spark: SparkSession, d: str) -> DataFrame:
     return affixes.chains(lexicon.reverse_index(lexicon.derivations(spark, d)))
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
+def form_index_of(spark: SparkSession, d: str) -> DataFrame:
     """The forms of the roots and affixes with their interpretations, built once for tables as they are."""
 
     def make() -> DataFrame:
@@ -225,7 +225,7 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 @query("root_form_index")
 def root_form_index(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).select("form", F.size("interps").alias("n"), "freq", "merged", "kinds")
+    return form_index_of(spark, d).select("form", F.size("interps").alias("n"), "freq", "merged", "kinds")
 
 
 @query(
@@ -250,7 +250,7 @@ def shown_meanings(spark: SparkSession, d: str) -> DataFrame:
 @query("segmented_words")
 def segmented_words(spark: SparkSession, d: str) -> DataFrame:
     words = _words(spark, d)
-    return segment.segment(words, _index(spark, d), affixes.chains(lexicon.reverse_index(lexicon.derivations(spark, d)), words=words))
+    return segment.segment(words, form_index_of(spark, d), affixes.chains(lexicon.reverse_index(lexicon.derivations(spark, d)), words=words))
 
 
 @query("stems_of_words")
@@ -294,7 +294,7 @@ def greedy_words(spark: SparkSession, d: str) -> DataFrame:
     def run(words: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([segment.greedy(w, list(h) if h is not None else None) for w, h in zip(words, found)])
 
-    rows = segment.hits(_words(spark, d), _index(spark, d))
+    rows = segment.hits(_words(spark, d), form_index_of(spark, d))
     return rows.select("word", F.pandas_udf(run, "array<string>")("word", F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["form"].alias("form")))).alias("parts"))
 
 

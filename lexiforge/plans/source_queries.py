@@ -58,6 +58,33 @@ def block_directory(spark: SparkSession, d: str) -> DataFrame:
     return ends.agg(F.sum("end").alias("bytes"))
 
 
+@query("block_meta", f"SELECT sum(strlen(html) + 1)::BIGINT AS bytes, TRUE AS packed_smaller, 2 AS styles FROM ({_ENTRIES})")
+def block_meta(spark: SparkSession, d: str) -> DataFrame:
+    """The directory and the styles read from one JSON row a file."""
+    packed = _blocks(spark, d).groupBy("file").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.length("block").cast("bigint").alias("c"), "size"))), lambda b: F.array(b["c"], b["size"]))).alias("block_infos"))
+    meta = packed.withColumn("stylesheet", F.lit('{"1": {"open": "<b>", "close": "</b>"}, "2": {"open": "<i>", "close": "</i>"}}'))
+    dirs = blocks.directory_from_meta(meta)
+    ends = dirs.groupBy("file").agg(F.max(F.col("begin") + F.col("size")).alias("end"), F.sum("packed").alias("packed"))
+    sheet = blocks.stylesheet(meta).agg(F.max(F.size("styles")).alias("styles"))
+    return ends.agg(F.sum("end").alias("bytes"), (F.sum("packed") < F.sum("end")).alias("packed_smaller")).crossJoin(sheet)
+
+
+@query("json_round_trip", "SELECT entry_id, base, meaning FROM roots")
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    at = _place(spark)
+    files.write_json(load(spark, d, "roots", "entry_id", "base", "meaning"), at)
+    return files.read_document(spark, at, "entry_id bigint, base string, meaning string", multi_line=False)
+
+
+@query("line_ranks_limit", f"WITH {sql.LEX} SELECT word, frequency + (frequency - 1) // 10 AS frequency FROM lex WHERE frequency + (frequency - 1) // 10 <= 100")
+def line_ranks_limit(spark: SparkSession, d: str) -> DataFrame:
+    """A list with a blank line after every ten words, read up to its hundredth line, blank ones counted."""
+    at = _place(spark)
+    lines = F.when(F.col("frequency") % 10 == 0, F.array("word", F.lit(""))).otherwise(F.array("word"))
+    lexicon.lexicon(spark, d).orderBy("frequency").select(F.explode(lines).alias("value")).write.text(at)
+    return files.read_ranked_list(spark, at, 100)
+
+
 @query("json_lines", "SELECT word, string_split(split, '.') AS segments FROM (SELECT DISTINCT regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 1) AS word, regexp_extract(line, '^(\\w+) = ([\\w.]+) \\[', 2) AS split FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE word <> ''")
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
     """Written as JSON lines with unreadable lines among them, and read back."""

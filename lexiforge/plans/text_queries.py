@@ -153,15 +153,21 @@ def entry_fields(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "e.definition", F.size("e.verb_forms").alias("n_verb_forms"), F.size("e.noun_forms").alias("n_noun_forms"))
 
 
+#: The entities that the texts of ``plain_entries`` are given, on the SQL side one by one.
+_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&quot;": '"', "&#39;": "'", "&#x2014;": "—", "&eacute;": "é", "&mdash;": "—", "&#233;": "é", "&hearts;": "♥"}
+
+
 def _entities_sql(x: str) -> str:
-    for name, char in markup.ENTITIES.items():
+    for name, char in _ENTITIES.items():
         x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 
 
-@query("plain_entries", f"SELECT doc_id, trim(regexp_replace(regexp_replace({_entities_sql('text')}, '<[^>]*>', ' ', 'g'), '[\\s\\x{{A0}}]+', ' ', 'g')) AS plain FROM documents WHERE text IS NOT NULL")
+@query("plain_entries", f"SELECT doc_id, trim(regexp_replace(regexp_replace({_entities_sql(f"text || '{''.join(_ENTITIES)}'")}, '<[^>]*>', ' ', 'g'), '[\\s\\x{{A0}}]+', ' ', 'g')) AS plain FROM documents WHERE text IS NOT NULL")
 def plain_entries(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", markup.clean_html(F.col("text")).alias("plain"))
+    """The texts, with some entities put after each."""
+    t = load(spark, d, "documents", "doc_id", "text").where("text is not null")
+    return t.select("doc_id", markup.clean_html(F.concat("text", F.lit("".join(_ENTITIES)))).alias("plain"))
 
 
 @query("collapsed_han", "SELECT doc_id, regexp_replace(text, '[\\x{4E00}-\\x{9FFF}]+', '.', 'g') AS text FROM documents WHERE text IS NOT NULL")
@@ -235,11 +241,15 @@ def derivations_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "one_letter_apart",
-    f"WITH {sql.DERIV} SELECT DISTINCT word, base FROM deriv WHERE abs(length(word) - length(base)) <= 3 AND levenshtein(word, base) <= 3",
+    "WITH f AS (SELECT lower(trim(trim(canonical, '-'))) AS base, unnest(list_transform(variants, lambda v: lower(trim(trim(v, '-'))))) AS word FROM allomorph_groups), p AS (SELECT DISTINCT word, base, length(word) > length(base) AS w FROM f WHERE abs(length(word) - length(base)) = 1), q AS (SELECT word, base, CASE WHEN w THEN word ELSE base END AS longer, CASE WHEN w THEN base ELSE word END AS shorter FROM p), "
+    "k AS (SELECT *, unnest(generate_series(0, length(shorter))) AS i FROM q) SELECT word, base, longer, max(i)::INT AS place, substr(longer, max(i)::INT + 1, 1) AS letter FROM k "
+    "WHERE substr(longer, 1, i) = substr(shorter, 1, i) AND substr(longer, i + 2) = substr(shorter, i + 1) GROUP BY word, base, longer",
 )
 def one_letter_apart(spark: SparkSession, d: str) -> DataFrame:
-    t = lexicon.derivations(spark, d)
-    return t.where((F.abs(F.length("word") - F.length("base")) <= 3) & (F.levenshtein("word", "base", 3) >= 0)).select("word", "base").distinct()
+    clean = lambda x: F.lower(strings.strip_dashes(x))
+    t = load(spark, d, "allomorph_groups", "canonical", "variants").select(clean(F.col("canonical")).alias("base"), F.explode("variants").alias("v"))
+    t = t.select("base", clean(F.col("v")).alias("word")).distinct()
+    return t.select("word", "base", strings.inserted(F.col("word"), F.col("base")).alias("x")).where("x is not null").select("word", "base", "x.*")
 
 
 @query(

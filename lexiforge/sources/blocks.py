@@ -65,6 +65,19 @@ def directory(blocks: DataFrame) -> DataFrame:
     return blocks.select("file", "idx", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("begin"), "size")
 
 
+def directory_from_meta(meta: DataFrame) -> DataFrame:
+    """``file, idx, begin, size, packed``: the directory from a meta row a file, whose ``block_infos`` is a JSON array of compressed and decompressed sizes."""
+    rows = meta.select("file", F.posexplode(F.from_json("block_infos", "array<array<bigint>>")).alias("idx", "x"))
+    sizes = rows.select("file", F.col("idx").cast("bigint").alias("idx"), F.get("x", F.lit(1)).alias("size"), F.get("x", F.lit(0)).alias("packed"))
+    return directory(sizes).join(sizes.select("file", "idx", "packed"), ["file", "idx"])
+
+
+def stylesheet(meta: DataFrame) -> DataFrame:
+    """``file, styles``: the style pairs of a meta row, from JSON; none where there is no sheet."""
+    styles = F.from_json("stylesheet", "map<string, struct<open: string, close: string>>")
+    return meta.select("file", F.coalesce(styles, F.create_map().cast("map<string, struct<open: string, close: string>>")).alias("styles"))
+
+
 def key_index(blocks: DataFrame) -> DataFrame:
     """``file, word, word_lower, offset, length``: the length of a record reaches to the next one, of the last to the end of its file."""
     keys = blocks.select("file", F.explode("keys").alias("k")).select("file", F.trim("k.word").alias("word"), F.col("k.offset").alias("offset"))

@@ -69,8 +69,3 @@ def write_csv(df: DataFrame, path: str) -> None:
 def log_tail(log: DataFrame, count: int) -> DataFrame:
     """The last lines of a log with ordinals (``n, line``); 0 means all."""
     return log if count == 0 else log.orderBy(F.desc("n")).limit(count)
-
-
-def tables(spark: SparkSession) -> DataFrame:
-    """The names of the registered tables and views."""
-    return spark.sql("SHOW TABLES").select("tableName")

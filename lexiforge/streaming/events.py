@@ -28,11 +28,12 @@ def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out")
+        # a complete result replaces the one before; of others each batch has a place of its own, written again if the batch is
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns)
 
 
 def append_log(lines: DataFrame, path: str) -> None:

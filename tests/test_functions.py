@@ -54,10 +54,18 @@ def test_markup(spark):
     assert get(markup.definition_fallback(h)) == "弯" and get(markup.definition_fallback(h), "x") is None
     assert get(markup.verb_forms(h)) == ["bent", "bends"] and get(markup.noun_forms(h)) == ["bend", "bends"]
     assert get(markup.clean_html(h), "a&nbsp;<i>c</i>\n d &amp; e<br>f ") == "a c d & e f"
+    assert get(markup.clean_html(h), "caf&eacute; &#233;&#xe9; &mdash;&notit; &amp;lt; &zzz; &") == "café éé —¬it; &lt; &zzz; &"
+    assert get(markup.clean_html(h), None) is None
     assert get(markup.definition(h), None) is None and get(markup.verb_forms(h), "") == []
     assert get(markup.fix_resource_paths(h), "<img src='a.png'><img src=\"http://x/y\"><script src='/static/z.js'></script>") == '<img src="/static/a.png"><img src="http://x/y"><script src=\'/static/z.js\'></script>'
 
 
+def test_inserted(spark):
+    got = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(strings.inserted(F.col("a"), F.col("b")).alias("x")).first()["x"]
+    assert tuple(got("abc", "abxc")) == ("abxc", 2, "x") and tuple(got("aab", "ab")) == ("aab", 1, "a") and tuple(got("", "q")) == ("q", 0, "q")
+    assert got("abc", "abc") is None and got("abcd", "axb") is None and got("abc", "abcde") is None and got(None, "a") is None
+
+
 def test_styles(spark):
     styles = F.create_map(F.lit("1"), F.struct(F.lit("<b>").alias("open"), F.lit("</b>").alias("close")))
     assert one(spark, markup.substitute_styles(F.col("t"), styles), t="a`1`b\n`9`c") == "a<b>b</b>\r\nc"
