@@ -38,14 +38,23 @@ def p2_fused(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+def _tables(spark: SparkSession, d: str) -> list[DataFrame]:
     roots = load(spark, d, "roots", "entry_id", "base", "meaning", "ety_meaning", "forms")
-    frequent = load(spark, d, "high_freq_affixes", "hf_id", "affix", "affix_type", "meaning")
-    return matching.match(roots, frequent, load(spark, d, "affixes", "affix_id", "roots", "meaning"))
+    return [roots, load(spark, d, "high_freq_affixes", "hf_id", "affix", "affix_type", "meaning"), load(spark, d, "affixes", "affix_id", "roots", "meaning")]
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes of equal records, each named by its least id; ``p5_members`` has all records of a class."""
+    return matching.matched_classes(*matching.match_classes(*_tables(spark, d)))
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    roots, frequent, affixes = _tables(spark, d)
+    return matching.class_members(matching.classes(matching.all_records(roots, frequent, affixes))[1])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_matches(spark, d).select("id_a", "id_b")
+    return matching.match(*_tables(spark, d)).select("id_a", "id_b")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,5 +79,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p5_matches": p5_matches, "p5_members": p5_members, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}

@@ -142,3 +142,63 @@ def test_matching(spark):
     got = {(x.id_a, x.id_b) for x in rows}
     assert len(got) == len(rows) and all(0.5 <= x.confidence <= 1 for x in rows)
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def _crowd(n):
+    """One form of ``n`` root classes and as many affixes of other senses, but for a few of the same, and some near it."""
+    word = lambda i: "".join("bcdfghklmn"[int(c)] + "a" for c in f"{i:04d}")
+    roots = [(10000 + i, "stato", word(i), word(5000 + i), '{"stato": {}, "statoric": {}}') for i in range(n)]
+    hf = [(20000 + i, "-stato-", "root", word(i if i % 10 == 0 else 2000 + i)) for i in range(n)] + [(29000, "stat", "root", word(3)), (29001, "stato", None, None)]
+    aff = [(30000 + i, "-statoric", word(i if i % 8 == 0 else 3000 + i)) for i in range(n // 2)] + [(39000, "statto", word(4)), (39001, "", "x")]
+    return roots, hf, aff
+
+
+def _frames(spark, roots, hf, aff):
+    return (
+        spark.createDataFrame(roots, "entry_id bigint, base string, meaning string, ety_meaning string, forms string"),
+        spark.createDataFrame(hf, "hf_id bigint, affix string, affix_type string, meaning string"),
+        spark.createDataFrame(aff, "affix_id bigint, roots string, meaning string"),
+    )
+
+
+@pytest.mark.parametrize("n", [40, 80])
+def test_hot_and_cold_forms_give_the_same_candidates(spark, n):
+    cls, _ = matching.classes(matching.all_records(*_frames(spark, *_crowd(n))))
+    full = matching._expanded(cls, matching.learn_synonyms(cls))
+    got = []
+    for hot in (0, 10**9):
+        pairs, unlike = matching.candidates(full, hot)
+        got.append((sorted(map(str, pairs.collect())), sorted(map(str, unlike.collect()))))
+    assert got[0] == got[1]
+    pairs, unlike = matching.candidates(full, 0)
+    alike = pairs.where("gs > 0").count()
+    assert alike >= n // 10 + n // 2 // 8 and pairs.where("gs is null").count() > 0
+    # with those counted, all pairs of a shared form are there
+    whole = n * n + n * (n // 2)
+    assert unlike.where("fs >= 0.7").agg(F.sum("n")).first()[0] + pairs.where("fs >= 0.7 and gs > 0").count() >= whole
+
+
+def test_short_forms_one_edit_apart(spark):
+    forms = spark.createDataFrame([(f, ["a", "b"]) for f in ("orin", "oran", "ico", "iko", "ab", "ac", "orni", "telere", "teler")], "form string, tables array<string>")
+    got = {(r.form, r.other) for r in matching.near_forms(forms).collect()}
+    assert got == {(a, b) for x, y in (("orin", "oran"), ("ico", "iko"), ("orin", "orni"), ("telere", "teler")) for a, b in ((x, y), (y, x))}
+
+
+def test_chains_are_closed_over_any_table(spark):
+    """A root without senses matches by form, an affix by near form and sense: the pair at the ends is found through the record between."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) + "x"
+    sense = [f"{a}{b}{c}t" for a in "bdfgk" for b in "aeo" for c in "lmrs"]
+    roots, hf, aff = [], [], []
+    for i in range(300):
+        form, mine = name(), "; ".join(rng.sample(sense, 3))
+        roots.append((1000 + i, form, mine, mine, f'{{"{form}": {{}}}}'))
+        hf.append((2000 + i, form, "root", mine))
+        aff.append((3000 + i, f"-{form}-", mine))
+    form, mine = "kolivarex", "balt; belt; bolt"
+    roots.append((1, form, None, None, f'{{"{form}": {{}}}}'))
+    hf.append((2, form, "root", mine))
+    aff.append((3, "-kolvarex-", mine))
+    got = {(r.id_a, r.id_b): r.confidence for r in matching.match(*_frames(spark, roots, hf, aff)).collect()}
+    assert {(1, 2), (2, 3), (1, 3)} <= set(got)
+    assert got[(1, 2)] * got[(2, 3)] <= got[(1, 3)] + 1e-3, "the constraint holds"
