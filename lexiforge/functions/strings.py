@@ -17,6 +17,11 @@ def strip_dashes(form: Column) -> Column:
     return F.btrim(F.btrim(form, F.lit("-")))
 
 
+def bare_form(form: Column) -> Column:
+    """A form without outer dashes and blanks of any kind and without case."""
+    return F.lower(F.regexp_replace(form, r"^[\p{IsWhite_Space}\p{Pd}]+|[\p{IsWhite_Space}\p{Pd}]+$", ""))
+
+
 def affix_position(dashed: Column) -> Column:
     """``-x-`` root, ``-x`` suffix, ``x-`` prefix, else null."""
     return F.when(dashed.startswith("-") & dashed.endswith("-"), "root").when(dashed.startswith("-"), "suffix").when(dashed.endswith("-"), "prefix")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import strings
-from lexiforge.runtime import cut
+from lexiforge.operators.components import labels
 
 VOWELS = "aeiouy"
 MIN_OVERLAP = 0.5
@@ -98,28 +98,6 @@ def review(gated: DataFrame, examples: DataFrame | None = None) -> DataFrame:
     return held
 
 
-def labels(edges: DataFrame) -> DataFrame:
-    """``v, label`` of linked vertices: the least vertex of each component."""
-    e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-
-    def mark(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-    before = mark(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = cut(both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").distinct())
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-        e = cut(small.select("e.v", "e.u").where("v != u").distinct())
-        after = mark(e)
-        if after == before:
-            break
-        before = after
-    return e.select("v", F.col("u").alias("label")).unionByName(e.select(F.col("u").alias("v"), F.col("u").alias("label")).distinct())
-
-
 def groups(node_table: DataFrame, gated: DataFrame) -> DataFrame:
     """``canonical, pos, variants, cnt, rank, edge_types``: merged nodes; the head is the one of least rank, then greatest count, length, and first by letters."""
     merged = gated.where("merge")
