@@ -159,7 +159,8 @@ def plain_column(df: DataFrame, text_col: str, out_col: str = "plain") -> DataFr
 
 
 def changed(df: DataFrame, tbl: str, id_col: str, text_col: str) -> DataFrame:
-    """``tbl, row_id, plain`` of the rows whose text differs from its plain form. Only suspect rows reach Python."""
+    """``tbl, row_id, plain`` of the rows whose text differs from its plain form. Only suspect rows reach Python, each once."""
     rows = df.select(F.lit(tbl).alias("tbl"), F.col(id_col).alias("row_id"), F.col(text_col).alias("_text"))
-    rows = rows.where(may_change(F.col("_text"))).withColumn("plain", plain_udf("_text"))
+    # a generated column is a value, so the filter after it does not run the function again
+    rows = rows.where(may_change(F.col("_text"))).select("tbl", "row_id", "_text", F.explode(F.array(plain_udf("_text"))).alias("plain"))
     return rows.where(F.col("plain") != F.col("_text")).select("tbl", "row_id", "plain")
