@@ -21,15 +21,16 @@ the label of a family is its least id; vertices without links don't come out; em
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.functions import strings
+from lexiforge.operators.components import stars
 from lexiforge.runtime import cut
 
 #: The graph is shrunk while a pass removes at least this share of the edges.
 WORTHWHILE = 0.2
+SALTS = 16
 
 
 def _undirected(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -86,28 +87,6 @@ def compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(kept.select("a", "b").unionByName(bridges).distinct()), pointers
 
 
-def solve_core(edges: DataFrame) -> DataFrame:
-    """``v, rep`` by large-star and small-star steps until the edges are stars."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")))
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-    before = mark(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
-        large = cut(large)
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-        edges = cut(small.select("e.v", "e.u").where("v != u").distinct())
-        after = mark(edges)
-        if after == before:
-            return edges.select("v", F.col("u").alias("rep"))
-        before = after
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``v, label``: every linked vertex with the least vertex of its component."""
     edges = cut(_undirected(links, a, b))
@@ -121,7 +100,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if left > size * (1 - WORTHWHILE):
             break
         size = left
-    labels = solve_core(edges)
+    labels = stars(edges)
     for gone in reversed(pointers):
         known = labels.select(F.col("v").alias("p"), "rep")
         labels = labels.unionByName(gone.join(known, "p", "left").select("v", F.coalesce("rep", "p").alias("rep")))
@@ -131,11 +110,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.join(least, "rep").select("v", "label").unionByName(of_reps)
 
 
-def norm_form(form: Column) -> Column:
-    """A form without outer dashes and blanks and without case."""
-    return F.lower(F.regexp_replace(form, r"^[\p{IsWhite_Space}\p{Pd}]+|[\p{IsWhite_Space}\p{Pd}]+$", ""))
-
-
 def family_links(groups: DataFrame) -> DataFrame:
     """``a, b``: each record linked to the least record of the same position that shares a form with it.
 
@@ -145,18 +119,17 @@ def family_links(groups: DataFrame) -> DataFrame:
     kinds = F.coalesce("edge_types", F.array().cast("array<string>"))
     held = (F.size(kinds) > 0) & F.forall(kinds, lambda k: F.coalesce(F.trim(F.lower(k)).isin("gate", "cross_lang"), F.lit(False)))
     variants = F.when(held, F.array().cast("array<string>")).otherwise(F.coalesce("variants", F.array().cast("array<string>")))
-    rows = groups.select("group_id", "pos", F.array_distinct(F.transform(F.concat(F.array("canonical"), variants), norm_form)).alias("forms"))
+    rows = groups.select("group_id", "pos", F.array_distinct(F.transform(F.concat(F.array("canonical"), variants), strings.bare_form)).alias("forms"))
     keyed = rows.select("group_id", F.coalesce("pos", F.lit("\0")).alias("pos"), F.explode("forms").alias("form"))
     keyed = keyed.where((F.length("form") > 0) & F.col("group_id").isNotNull())
     least = keyed.groupBy("pos", "form").agg(F.min("group_id").alias("b"), F.max("group_id").alias("top")).where("b != top")
-    return keyed.join(least, ["pos", "form"]).select(F.col("group_id").alias("a"), "b").where("a != b")
+    # one row a shared form, repeated for each salt, so that a form of many records meets them in as many tasks
+    spread = least.select("pos", "form", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("group_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["pos", "form", "salt"]).select(F.col("group_id").alias("a"), "b").where("a != b")
 
 
 def families(groups: DataFrame) -> DataFrame:
     """``group_id, cluster_id`` of every record in a family of two or more."""
     got = components(family_links(groups))
     return got.select(F.col("v").alias("group_id"), F.col("label").alias("cluster_id"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 OPEN_BINS = 128
 TASK_CAPACITY = 16 << 20
+#: Beyond so many tasks each takes more; it streams, so its size is no matter.
+MOST_TASKS = 20_000
 
 
 class OpenBins:
@@ -70,18 +72,14 @@ class OpenBins:
         return bin_no, self.capacity - free
 
 
-def pack_sizes(sizes: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> list[list[tuple[int, int, int, int]]]:
-    """For each item its pieces: bin, offset in the bin, start and stop in the item."""
-    bins, out = OpenBins(capacity, open_bins), []
-    for size in sizes:
-        size, pieces, start = max(0, size), [], 0
-        while size - start > capacity:
-            pieces.append((bins.new(), 0, start, start + capacity))
-            start += capacity
-        bin_no, used = bins.add(size - start)
-        pieces.append((bin_no, used, start, size))
-        out.append(pieces)
-    return out
+def place(bins: OpenBins, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """The pieces of an item: bin, offset in the bin, start and stop in the item."""
+    size, start = max(0, size), 0
+    while size - start > bins.capacity:
+        yield bins.new(), 0, start, start + bins.capacity
+        start += bins.capacity
+    bin_no, used = bins.add(size - start)
+    yield bin_no, used, start, size
 
 
 SCHEMA = "part bigint, start bigint, stop bigint, bin string, bin_offset bigint"
@@ -100,7 +98,7 @@ def pack(
         raise ValueError("capacity and open_bins start from 1")
     rows = items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("size"))
     total = rows.agg(F.coalesce(F.sum(F.greatest("size", F.lit(0))), F.lit(0)).alias("n")).first()["n"]
-    tasks = max(1, round(total / max(capacity, task_capacity)))
+    tasks = min(MOST_TASKS, max(1, round(total / max(capacity, task_capacity))))
     spread = rows.repartition(tasks, F.xxhash64("id", "size")).sortWithinPartitions(F.xxhash64("id"), "id", "size")
     spread = spread.select("id", "size", F.spark_partition_id().alias("task"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -113,12 +111,7 @@ def pack(
                 continue
             task, out = batch["task"][0].as_py(), []
             for row, size in enumerate(batch["size"].to_pylist()):
-                size, start, part = max(0, size), 0, 0
-                while size - start > capacity:
-                    out.append((row, part, start, start + capacity, f"{task}-{bins.new()}", 0))
-                    start, part = start + capacity, part + 1
-                bin_no, used = bins.add(size - start)
-                out.append((row, part, start, size, f"{task}-{bin_no}", used))
+                out += [(row, part, start, stop, f"{task}-{bin_no}", at) for part, (bin_no, at, start, stop) in enumerate(place(bins, size))]
             rows, *rest = (list(x) for x in zip(*out))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             columns = [batch["id"].take(pa.array(rows)), *(pa.array(x, k) for x, k in zip(rest, kinds))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.functions import strings
 from lexiforge.llm import families, fusion, matching, packing, plain_text, tokens, truncation
 from lexiforge.runtime import cut, load
 
@@ -19,8 +20,8 @@ def _fused(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     groups = load(spark, d, "allomorph_groups", "group_id", "canonical", "pos", "gloss", "gloss_src", "updated_at")
     cards = load(spark, d, "anki_highfreq", "anki_id", "affix", "affix_type", "meaning", "gloss_src", "updated_at")
     return [
-        ("allomorph_groups", fusion.fuse(groups, [fusion.norm_key(F.col("canonical")), F.col("pos")], "group_id", "gloss", "gloss_src", "updated_at")),
-        ("anki_highfreq", fusion.fuse(cards, [fusion.norm_key(F.col("affix")), F.col("affix_type")], "anki_id", "meaning", "gloss_src", "updated_at")),
+        ("allomorph_groups", fusion.fuse(groups, [strings.bare_form(F.col("canonical")), F.col("pos")], "group_id", "gloss", "gloss_src", "updated_at")),
+        ("anki_highfreq", fusion.fuse(cards, [strings.bare_form(F.col("affix")), F.col("affix_type")], "anki_id", "meaning", "gloss_src", "updated_at")),
     ]
 
 
@@ -70,6 +71,12 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, what they hold, and the share of their room that is used."""
+    got = packing.fill(p8_packed(spark, d))
+    return got.select("bins", "units", "fullest", F.round("fill", 6).alias("fill"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(load(spark, d, "documents", "doc_id", "text", "source")).select("doc_id")
 
@@ -79,5 +86,29 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p5_matches": p5_matches, "p5_members": p5_members, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_rates": p9_rates}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p5_matches": p5_matches, "p5_members": p5_members, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_rates": p9_rates}
+
+_FORM = "regexp_replace(lower({0}), '^[\\s\\p{{Z}}\\p{{Pd}}]+|[\\s\\p{{Z}}\\p{{Pd}}]+$', '', 'g')"
+_BARE = "lower(regexp_replace({0}, '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g'))"
+_NOTHING = ", ".join(f"'{x}'" for x in fusion.PLACEHOLDERS)
+
+
+def _survivors(tbl: str, row_id: str, form: str, kind: str, text: str) -> str:
+    said = f"CASE WHEN regexp_matches({_BARE.format(text)}, '[\\p{{L}}\\p{{N}}]') AND {_BARE.format(text)} NOT IN ({_NOTHING}) THEN 0 ELSE 1 END"
+    tier = f"CASE {_BARE.format('gloss_src')} WHEN 'manual' THEN 0 WHEN 'roots' THEN 1 WHEN 'corpus' THEN 2 ELSE 3 END"
+    return (
+        f"SELECT '{tbl}' AS tbl, {row_id} AS row_id FROM (SELECT {row_id}, count(*) OVER g AS n, row_number() OVER (PARTITION BY {_FORM.format(form)}, {kind} "
+        f"ORDER BY {said}, {tier}, updated_at DESC NULLS LAST, {row_id}) AS i FROM {tbl} WINDOW g AS (PARTITION BY {_FORM.format(form)}, {kind})) WHERE n >= 2 AND i = 1"
+    )
+
+
+_HELD = "len(edge_types) > 0 AND len(list_filter(edge_types, lambda k: coalesce(trim(lower(k)) NOT IN ('gate', 'cross_lang'), TRUE))) = 0"
+SQL: dict[str, str] = {
+    "p2_found": _survivors("allomorph_groups", "group_id", "canonical", "pos", "gloss") + " UNION ALL " + _survivors("anki_highfreq", "anki_id", "affix", "affix_type", "meaning"),
+    "p6_found": (
+        f"WITH RECURSIVE f0 AS (SELECT group_id, coalesce(pos, chr(0)) AS pos, unnest(list_append(CASE WHEN coalesce({_HELD}, FALSE) THEN [] ELSE coalesce(variants, []) END, canonical)) AS form FROM allomorph_groups), "
+        f"f AS (SELECT DISTINCT group_id, pos, {_FORM.format('form')} AS form FROM f0 WHERE form IS NOT NULL), k AS (SELECT *, min(group_id) OVER w AS least, count(*) OVER w AS n FROM f WHERE form <> '' WINDOW w AS (PARTITION BY pos, form)), "
+        "e AS (SELECT DISTINCT group_id AS a, least AS b FROM k WHERE n > 1), bo AS (SELECT a, b FROM e UNION SELECT b, a FROM e), re(v, u) AS (SELECT a, a FROM bo UNION SELECT v, b FROM re JOIN bo ON u = a), "
+        "lb AS (SELECT v AS group_id, min(u) AS cluster_id FROM re GROUP BY v) SELECT * FROM lb"
+    ),
+}
