@@ -144,18 +144,23 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def near_forms(forms: DataFrame) -> DataFrame:
-    """``form, other, s``: distinct forms (``form, tables``) one insertion, deletion, substitution or swap apart, in both directions, that can give pairs of two tables."""
+    """``form, other, s``: distinct forms (``fid, form, mask``) one insertion, deletion, substitution or swap apart, in both directions, that can give pairs of two tables.
+
+    ``mask`` has a bit for each table that knows the form. Only numbers and hashes of deletions are joined, with a form of a table
+    other than the first on one side; forms are fetched for what is left.
+    """
     least = round(1 / (1 - ALIKE))
-    rows = forms.where(F.length("form") >= least).select(F.struct("form", "tables").alias("f"))
-    form = F.col("f.form")
+    form = F.col("form")
     gone = F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.xxhash64(F.concat(F.substring(form, F.lit(1), i - 1), F.substring(form, i + 1, F.length(form)))))
-    keyed = rows.select("f", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64(form)), gone))).alias("key"))
-    one, two = F.col("f"), F.col("g")
-    pairs = keyed.join(keyed.toDF("g", "key"), "key").where((one["form"] != two["form"]) & (F.size(F.array_union(one["tables"], two["tables"])) > 1))
-    pairs = pairs.select(one["form"].alias("form"), two["form"].alias("other")).distinct()
+    keyed = forms.where(F.length(form) >= least).select("fid", "mask", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64(form)), gone))).alias("key"))
+    others = keyed.where(F.col("mask").bitwiseAND(~1) != 0).toDF("fid2", "mask2", "key")
+    pairs = others.join(keyed, "key").where((F.col("fid") != F.col("fid2")) & (F.bit_count(F.col("mask").bitwiseOR(F.col("mask2"))) > 1)).select("fid", "fid2").distinct()
+    named = pairs.join(forms.select("fid", "form"), "fid").join(forms.select(F.col("fid").alias("fid2"), F.col("form").alias("other")), "fid2")
     d = F.levenshtein("form", "other")
     swapped = (d == 2) & (F.length("form") == F.length("other")) & (F.array_sort(F.split("form", "")) == F.array_sort(F.split("other", "")))
-    return pairs.where((d == 1) | swapped).select("form", "other", (1 - 1 / F.greatest(F.length("form"), F.length("other"))).alias("s"))
+    found = named.where((d == 1) | swapped).select("form", "other")
+    both = found.unionByName(found.select(F.col("other").alias("form"), F.col("form").alias("other"))).distinct()
+    return both.select("form", "other", (1 - 1 / F.greatest(F.length("form"), F.length("other"))).alias("s"))
 
 
 def _overlap(ta: str, ea: str, tb: str, eb: str) -> Column:
@@ -194,8 +199,9 @@ def candidates(full: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The pairs worth comparing (``ca, cb, ta, tb, fs, gs, ks``; ``ca`` of the lesser table), and ``fs, ks, n``: how many pairs share or nearly share a form, but no sense."""
     keys = full.select(*WIDE, F.explode("forms").alias("form"))
     tables = keys.groupBy("form", "tbl").agg(F.count("*").alias("n")).groupBy("form").agg(F.collect_set("tbl").alias("tables"), F.map_from_entries(F.collect_list(F.struct("tbl", "n"))).alias("by"))
-    tables = cut(tables)
-    near = near_forms(tables.select("form", "tables"))
+    bits = F.aggregate("tables", F.lit(0), lambda m, t: m.bitwiseOR(F.when(t == "a", 1).when(t == "b", 2).otherwise(4)))
+    tables = cut(tables.withColumns({"fid": F.monotonically_increasing_id(), "mask": bits}))
+    near = near_forms(tables.select("fid", "form", "mask"))
     met = tables.where(F.size("tables") > 1).select("form", F.col("form").alias("other"), F.lit(1.0).alias("s")).unionByName(near)
     # a form with itself once, with others in both directions, as the lesser table is on the left
     size = lambda f, t: F.coalesce(F.col(f)[t], F.lit(0))
