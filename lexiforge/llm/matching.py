@@ -215,7 +215,8 @@ def candidates(full: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
 
     plain = _worth(compared(sides(cool, _sided(keys, "a", "form"), _sided(keys, "b", F.col("form").alias("other")), ["other"])))
     # by form and sense: one side under its tokens, the other under all that mean the same as one of its own
-    narrow = keys.select("cls", "tbl", "form", F.array_union("t1", "t2").alias("t"), F.array_union("e1", "e2").alias("e"))
+    crowd = busy.select("form").unionByName(busy.select(F.col("other").alias("form"))).distinct()
+    narrow = keys.join(crowd, "form", "left_semi").select("cls", "tbl", "form", F.array_union("t1", "t2").alias("t"), F.array_union("e1", "e2").alias("e"))
     left = lambda df, *more: df.select(F.col("cls").alias("cls_a"), F.col("tbl").alias("tbl_a"), "form", *more)
     right = lambda df, *more: df.select(F.col("cls").alias("cls_b"), F.col("tbl").alias("tbl_b"), F.col("form").alias("other"), *more)
     same, mute, loud = busy.where("s = 1.0"), narrow.where(F.size("t") == 0), narrow.where(F.size("t") > 0)
