@@ -30,7 +30,7 @@ from lexiforge.runtime import cut
 
 #: The graph is shrunk while a pass removes at least this share of the edges.
 WORTHWHILE = 0.2
-SALTS = 16
+SALTS, HOT_FORMS = 16, 1024
 
 
 def _undirected(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -122,10 +122,14 @@ def family_links(groups: DataFrame) -> DataFrame:
     rows = groups.select("group_id", "pos", F.array_distinct(F.transform(F.concat(F.array("canonical"), variants), strings.bare_form)).alias("forms"))
     keyed = rows.select("group_id", F.coalesce("pos", F.lit("\0")).alias("pos"), F.explode("forms").alias("form"))
     keyed = keyed.where((F.length("form") > 0) & F.col("group_id").isNotNull())
-    least = keyed.groupBy("pos", "form").agg(F.min("group_id").alias("b"), F.max("group_id").alias("top")).where("b != top")
-    # one row a shared form, repeated for each salt, so that a form of many records meets them in as many tasks
-    spread = least.select("pos", "form", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("group_id"), F.lit(SALTS)).cast("int"))
+    least = keyed.groupBy("pos", "form").agg(F.min("group_id").alias("b"), F.max("group_id").alias("top"), F.count("*").alias("n")).where("b != top")
+    least = cut(least.select("pos", "form", "b", "n"))
+    # no more than HOT_FORMS forms can each have a HOT_FORMS-th of all rows: those meet their records in SALTS tasks each
+    most = least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col("n") > max(SALTS, most / HOT_FORMS)
+    spread = least.select("pos", "form", "b", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    marked = keyed.join(F.broadcast(least.where(hot).select("pos", "form", F.lit(True).alias("hot"))), ["pos", "form"], "left")
+    salted = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("group_id"), F.lit(SALTS)).cast("int")).otherwise(0))
     return salted.join(spread, ["pos", "form", "salt"]).select(F.col("group_id").alias("a"), "b").where("a != b")
 
 
