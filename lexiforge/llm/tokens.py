@@ -4,8 +4,8 @@ The global distinct-word shuffle: texts are cut into pre-tokens with their posit
 distinct pre-token is encoded exactly once, the ids are joined back and each text is put together
 by position. Frequent pre-tokens, which would make the join uneven, form a side table of at most
 ``HEAVY_WORDS`` rows of at most ``HEAVY_CHARS`` characters; this bound holds for any corpus, as no
-more than K words can each make up a K-th of it, so that table is broadcast. All others go through
-a shuffled hash join built on the side that has one row a word.
+more than K words can each make up a K-th of it, so that table is broadcast. Frequent ones that are longer are told by as many
+hashes and join in ``SALTS`` parts. All others go through a shuffled hash join built on the side that has one row a word.
 
 Defined results: a null or empty text gives an empty list; a blank text is encoded like any other;
 rows equal in id and text come out once, different texts under one id (or under a null id) each for
@@ -38,6 +38,7 @@ PRE_TOKEN_PLAIN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 HEAVY_WORDS = 4096
 HEAVY_CHARS = 64
+SALTS = 16
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -60,9 +61,11 @@ def pre_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
 
 
-def explode_pre_tokens(rows: DataFrame) -> DataFrame:
-    """``_id, _h, pos, word``, one row for each pre-token; ``_h`` tells texts under one id apart."""
-    return rows.select("_id", F.xxhash64("text").alias("_h"), F.posexplode(pre_tokens(F.col("text"))).alias("pos", "word"))
+def explode_pre_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _h, pos, word``, one row for each pre-token; ``_h`` tells texts under one id apart. A null or empty text has one row without ``pos``."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    which = F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.lit(0))
+    return rows.select("_id", which.alias("_h"), F.posexplode_outer(pre_tokens(F.col("text"))).alias("pos", "word"))
 
 
 def word_encoder(spark: SparkSession, path: str | None = None):
@@ -83,62 +86,51 @@ def word_encoder(spark: SparkSession, path: str | None = None):
     return encode_words
 
 
-def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
+def word_table(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``word, cnt, ids``: every distinct pre-token of the corpus, encoded once, written to the shared folder."""
     encode_words = word_encoder(docs.sparkSession, path)
-    words = docs.select(F.explode(pre_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    words = docs.select(F.explode(pre_tokens(F.col(text_col).cast("string"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
     return cut(words.select("word", "cnt", encode_words("word").alias("ids")))
 
 
-def _with_ids(rows: DataFrame, words: DataFrame, value: Column) -> DataFrame:
-    """``_id, _h, pos, v`` for each pre-token, with ``value`` of its row of the word table."""
+def _with_ids(each: DataFrame, words: DataFrame, value: Column) -> DataFrame:
+    """``_id, _h, pos, v`` for each pre-token, with ``value`` of its row of the word table, and a row of nulls for each text without any."""
     total = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()["n"]
     least = max(1, -(-total // HEAVY_WORDS))
-    heavy_one = (F.col("cnt") >= least) & (F.length("word") <= HEAVY_CHARS)
-    heavy = words.where(heavy_one).select("word", value.alias("v"))
-    light = words.where(~heavy_one).select("word", value.alias("v"))
-    each = explode_pre_tokens(rows)
-    often = each.join(F.broadcast(heavy), "word").select("_id", "_h", "pos", "v")
-    rare = (
-        each.join(F.broadcast(heavy.select("word")), "word", "left_anti")
-        .join(light.hint("shuffle_hash"), "word")
-        .select("_id", "_h", "pos", "v")
-    )
-    return often.unionByName(rare)
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def _bare(rows: DataFrame) -> DataFrame:
-    """The ids of null and empty texts."""
-    return rows.where(F.coalesce(F.length("text"), F.lit(0)) == 0).select("_id").distinct()
+    often, short = F.col("cnt") >= least, F.length("word") <= HEAVY_CHARS
+    every = words.select("word", value.alias("v"), F.xxhash64("word").alias("k"), often.alias("often"), short.alias("short"))
+    heavy = every.where("often and short").select("word", "v")
+    long = every.where("often and not short").select("k")  # no more than HEAVY_WORDS hashes
+    light = every.where("not (often and short)")
+    out = ["_id", "_h", "pos", "v"]
+    parts = each.join(F.broadcast(heavy), "word", "left").where("v is not null or word is null").select(*out)
+    rest = each.where("word is not null").join(F.broadcast(heavy.select("word")), "word", "left_anti")
+    if long.isEmpty():
+        return parts.unionByName(rest.join(light.select("word", "v").hint("shuffle_hash"), "word").select(*out))
+    few = F.broadcast(long.distinct())
+    # a word whose hash is one of those takes this way, whether it is frequent or not
+    salted = light.join(few, "k", "left_semi").select("word", "v", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    keyed = rest.withColumn("k", F.xxhash64("word"))
+    hot = keyed.join(few, "k", "left_semi").withColumn("salt", F.pmod(F.xxhash64("_id", "pos"), F.lit(SALTS)).cast("int"))
+    cold = keyed.join(few, "k", "left_anti").join(light.join(few, "k", "left_anti").select("word", "v").hint("shuffle_hash"), "word")
+    return parts.unionByName(hot.join(salted.hint("shuffle_hash"), ["word", "salt"]).select(*out)).unionByName(cold.select(*out))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, ids`` of every document, without special tokens."""
-    rows = _keyed(docs, id_col, text_col)
-    words = word_table(rows, path)
-    parts = _with_ids(rows, words, F.col("ids"))
-    whole = parts.groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("parts"))
+    parts = _with_ids(explode_pre_tokens(docs, id_col, text_col), word_table(docs, text_col, path), F.col("ids"))
+    whole = parts.groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "v")))).alias("parts"))
     once = F.filter("parts", lambda p, i: (i == 0) | (F.col("parts")[i - 1]["pos"] < p["pos"]))
-    repeats = F.size("parts") > F.element_at("parts", -1)["pos"] + 1
+    repeats = F.size("parts") > F.try_element_at("parts", F.lit(-1))["pos"] + 1
     whole = whole.select("_id", F.when(repeats, once).otherwise(F.col("parts")).alias("parts"))
-    whole = whole.select("_id", F.flatten(F.transform("parts", lambda p: p["v"])).alias("ids"))
-    bare = _bare(rows).select("_id", F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(bare).select(F.col("_id").alias(id_col), "ids")
+    return whole.select(F.col("_id").alias(id_col), F.flatten(F.transform("parts", lambda p: p["v"])).alias("ids"))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens``: as ``size(encode(...).ids)``, but only numbers are moved and they are summed before the shuffle."""
-    rows = _keyed(docs, id_col, text_col)
-    words = word_table(rows, path)
-    parts = _with_ids(rows, words, F.size("ids"))
+    parts = _with_ids(explode_pre_tokens(docs, id_col, text_col), word_table(docs, text_col, path), F.size("ids"))
     counted = parts.groupBy("_id", "_h").agg(F.sum("v").alias("n"), F.sum((F.col("pos") == 0).cast("int")).alias("copies"))
-    counted = counted.select("_id", F.expr("n div copies").alias("n_tokens"))
-    bare = _bare(rows).select("_id", F.lit(0).cast("bigint").alias("n_tokens"))
-    return counted.unionByName(bare).select(F.col("_id").alias(id_col), "n_tokens")
+    return counted.select(F.col("_id").alias(id_col), F.coalesce(F.expr("n div copies"), F.lit(0)).alias("n_tokens"))
 
 
 def token_table(spark: SparkSession, path: str | None = None) -> DataFrame:

@@ -54,9 +54,11 @@ DOTTED = 1
 #: Characters looked at for the way a text ends; runs of marks beyond that end in the same way.
 TAIL = 64
 
-_UNITS = r"[\r\n]+|(?<=[.!?][\"”»'’)\]]?)[ \t]+(?=[\p{Lu}\p{Lo}\"“«„¿¡{'(])|(?<=[。！？])"
+#: What divides units; the blanks are looked at first, as the rarer thing, and full stops of their own width only where there are any.
+_UNITS = r"[\r\n]+|[ \t]+(?=[\p{Lu}\p{Lo}\"“«„¿¡{'(])(?<=[.!?][\"”»'’)\]]?[ \t]{1,64})"
+_WIDE = "(?<=[。！？])"
 _TOKENS = r"\p{IsHan}|[\p{L}\p{M}]+|\p{N}+|[^\p{IsWhite_Space}\p{L}\p{N}]"
-_DOTS = r"(?:\.{3,}|…+)$"
+_DOTS = r"(?:\.{3,}|…)[.…]*$"
 _BRACKETS = ("]", ")", "}", ">")
 
 
@@ -68,7 +70,14 @@ def _blanks() -> str:
 
 
 def _bare_end(text: Column) -> Column:
-    return F.rtrim(text, F.lit(_blanks()))
+    """The text without blanks at its end; most end in a printable ASCII character and are left alone."""
+    return F.when(F.substring(text, -1, 1).between("!", "~"), text).otherwise(F.rtrim(text, F.lit(_blanks())))
+
+
+def _tail(text: Column) -> Column:
+    """The last characters before the blanks at the end; ``''`` for a blank text."""
+    near = F.rtrim(F.substring(text, -TAIL, TAIL), F.lit(_blanks()))
+    return F.when(near != "", near).otherwise(F.substring(F.rtrim(text, F.lit(_blanks())), -TAIL, TAIL))
 
 
 def _kind(token: Column) -> Column:
@@ -84,32 +93,39 @@ def _kind(token: Column) -> Column:
 
 def _ending(tail: Column) -> Column:
     """How a text ends, by its last characters: ``…`` for final dots, ``.`` for any other sentence end, with closing quotes or brackets after it or not, else the kind of the last one."""
+    last = F.substring(tail, -1, 1)
     return (
-        F.when(tail.rlike(_DOTS), "…")
-        .when(tail.rlike(r"[.!?。！？][\"”»'’)\]」』]*$"), ".")
-        .when(tail.rlike(r"\p{IsHan}\p{M}*$"), "h")
-        .when(tail.rlike(r"[\p{L}\p{M}]$"), "a")
-        .when(tail.rlike(r"\p{N}$"), "0")
-        .when(tail.rlike(r"\p{So}\X?$"), "s")
-        .otherwise(F.right(tail, F.lit(1)))
+        F.when(tail.endswith("...") | (last == "…"), "…")
+        .when(last.isin(list(".!?。！？")), ".")
+        .when(last.isin(list("\"”»'’)]」』")) & tail.rlike(r"[.!?。！？][\"”»'’)\]」』]+$"), ".")
+        .when(last.rlike(r"\p{IsHan}"), "h")
+        .when(last.rlike(r"[\p{L}\p{M}]"), "a")
+        .when(last.rlike(r"\p{N}"), "0")
+        .when(last.rlike(r"\p{So}"), "s")
+        .otherwise(last)
     )
 
 
 def ending(text: Column) -> Column:
-    return _ending(F.right(_bare_end(text), F.lit(TAIL)))
+    return _ending(_tail(text))
+
+
+_HEAD = rf"^\p{{IsWhite_Space}}*+({_TOKENS})\p{{IsWhite_Space}}*+({_TOKENS})?+"
 
 
-def _first_token(unit: Column, i: int) -> Column:
-    """One of the first two tokens of a unit, numbers as ``0``."""
-    begin = rf"^\p{{IsWhite_Space}}*+({_TOKENS})\p{{IsWhite_Space}}*+({_TOKENS})?+"
-    return F.regexp_replace(F.regexp_extract(unit, begin, i), r"\p{N}+", "0")
+def _first_tokens(head: Column) -> list[Column]:
+    """The first two tokens of a unit from its beginning, numbers as ``0``."""
+    both = [F.regexp_extract(head, _HEAD, i) for i in (1, 2)]
+    return [F.when(t.rlike(r"^\p{N}"), "0").otherwise(t).alias(f"t{i}") for i, t in enumerate(both, 1)]
 
 
 def _units(text: Column) -> Column:
-    """The units of a text: first tokens, ending and hash of each."""
-    tails = F.transform(F.split(text, _UNITS, -1), lambda u: F.struct(u.alias("u"), F.right(_bare_end(u), F.lit(TAIL)).alias("tail")))
-    there = F.filter(tails, lambda x: x["tail"] != "")
-    return F.transform(there, lambda x: F.struct(_first_token(x["u"], 1).alias("t1"), _first_token(x["u"], 2).alias("t2"), _ending(x["tail"]).alias("end"), F.xxhash64(x["u"]).alias("u")))
+    """The units of a text: beginning, ending and hash of each."""
+    wide = text.contains("。") | text.contains("！") | text.contains("？")
+    parts = F.when(wide, F.split(text, f"{_UNITS}|{_WIDE}", -1)).otherwise(F.split(text, _UNITS, -1))
+    tails = F.transform(parts, lambda u: F.struct(u.alias("u"), F.substring(F.rtrim(u, F.lit(_blanks())), -TAIL, TAIL).alias("tail")))
+    told = F.transform(tails, lambda x: F.struct(F.regexp_extract(x["u"], _HEAD, 0).alias("head"), _ending(x["tail"]).alias("end"), F.xxhash64(x["u"]).alias("u")))
+    return F.filter(told, lambda x: x["end"] != "")
 
 
 def _levels() -> Column:
@@ -133,20 +149,21 @@ def _bare(text: Column, dotted: Column) -> Column:
     return F.when(dotted, _bare_end(F.regexp_replace(_bare_end(text), _DOTS, ""))).otherwise(text)
 
 
-def _dotted(text: Column) -> Column:
-    return (text.contains("...") | text.contains("…")) & F.right(_bare_end(text), F.lit(TAIL)).rlike(_DOTS)
+def _dotted(tail: Column) -> Column:
+    return tail.endswith("...") | tail.endswith("…")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"))
-    return rows.where(F.length(_bare_end(F.col("text"))) > 0)
+    return rows.withColumn("tail", _tail(F.col("text"))).where("tail != ''")
 
 
 def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The narrow table, one row a text, written once to the shared folder; no text is in it but first tokens and last words."""
     rows = _texts(docs, id_col, text_col, source_col)
     text = F.col("text")
-    rows = rows.withColumns({"dotted": _dotted(text), "tail": F.right(_bare_end(text), F.lit(TAIL)), "markup": F.regexp_extract(text, r"\A\s*<([A-Za-z][A-Za-z0-9]*)", 1)})
+    starts = F.ltrim(text, F.lit(" \t\n\x0b\f\r")).startswith("<")
+    rows = rows.withColumns({"dotted": _dotted(F.col("tail")), "markup": F.when(starts, F.regexp_extract(text, r"\A\s*<([A-Za-z][A-Za-z0-9]*)", 1)).otherwise("")})
     rows = rows.withColumn("bare", _bare(text, F.col("dotted")))
     opened = F.regexp_count(text, F.concat(F.lit("<"), "markup", F.lit("[ >/]")))
     closed = F.regexp_count(text, F.concat(F.lit("</"), "markup", F.lit(">")))
@@ -155,7 +172,7 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     return written(
         rows.select(
             "_id", "source", F.xxhash64("text").alias("h"), F.length("text").alias("chars"),
-            F.octet_length(F.rtrim(text, F.lit("�"))).alias("octets"),
+            F.octet_length(F.when(text.endswith("�"), F.rtrim(text, F.lit("�"))).otherwise(text)).alias("octets"),
             _ending(F.col("tail")).alias("end"),
             F.lower(F.regexp_extract("tail", r"([\p{L}\p{M}]+)$", 1)).alias("word"),
             (F.col("markup") != "").alias("markup"), open_tag.alias("open_tag"), F.col("tail").rlike(r"</[^<>]*>$").alias("closed"), text.endswith("�").alias("broken"),
@@ -172,8 +189,8 @@ def odd_endings(rows: DataFrame) -> DataFrame:
     are heard only where they share a finer prefix than inner ones do (footers, cards), and then most of them must end alike.
     """
     every = rows.select("source", F.size("units").alias("of"), F.posexplode("units").alias("i", "x"))
-    every = every.select("source", "x.t1", "x.t2", "x.end", (F.col("i") + 1 == F.col("of")).alias("last"))
-    every = every.groupBy("source", "t1", "t2", "end").agg(F.count_if(~F.col("last")).alias("n"), F.count_if("last").alias("m"))  # equal beginnings as one, before they multiply
+    every = every.select("source", "x.head", "x.end", (F.col("i") + 1 == F.col("of")).alias("last")).groupBy("source", "head", "end").agg(F.count_if(~F.col("last")).alias("n"), F.count_if("last").alias("m"))
+    every = every.select("source", *_first_tokens(F.col("head")), "end", "n", "m").groupBy("source", "t1", "t2", "end").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))  # equal beginnings as one, before they multiply
     ends = every.select("end", "n", "m", F.explode(_levels()).alias("k")).groupBy("k.level", "k.key", "end").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     by_key = ends.groupBy("level", "key").agg(F.sum("n").alias("inner"), F.sum("m").alias("final"), F.map_from_entries(F.collect_list(F.struct("end", F.struct("n", "m")))).alias("ends"))
     totals = cut(by_key.where((F.col("inner") >= min(SUPPORT)) | (F.col("final") > min(SUPPORT))))
@@ -181,7 +198,7 @@ def odd_endings(rows: DataFrame) -> DataFrame:
     told = F.when(F.col("inner") >= SUPPORT[-1], F.col("own.n") >= USUAL * F.col("inner")).otherwise(F.col("own.m") >= ODD * F.col("final"))
     usual = by_end.where(told).select("key", "end")
     last = rows.where("not markup").select("_id", "source", F.try_element_at("units", F.lit(-1)).alias("x")).where("x.end != '.'")
-    last = last.select("_id", "source", "x.t1", "x.t2", "x.end").withColumn("key", F.xxhash64(F.lit(7), "source")).join(usual, ["key", "end"], "left_anti")
+    last = last.select("_id", "source", *_first_tokens(F.col("x.head")), "x.end").withColumn("key", F.xxhash64(F.lit(7), "source")).join(usual, ["key", "end"], "left_anti")
     # equal beginnings are asked once, so a prefix of a third of all rows is one row here
     asked = last.groupBy("source", "t1", "t2", "end").agg(F.count("*").alias("rows"))
     keyed = asked.select("source", "t1", "t2", "end", F.explode(_levels()).alias("k")).select("source", "t1", "t2", "end", "k.level", "k.key")
@@ -201,8 +218,9 @@ def odd_endings(rows: DataFrame) -> DataFrame:
 def begun_words(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``_id`` of texts whose last word only begins words that stand before the end of texts, and is none of them."""
     ends = rows.where("end = 'a' and word != ''").select("_id", "word")
-    body = F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[\p{L}\p{M}]++[^\p{L}\p{M}]*+\z", "")
-    inner = docs.select(F.explode(F.regexp_extract_all(body, F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    words = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+    before_last = F.flatten(F.transform(F.array(words), lambda w: F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))))
+    inner = docs.select(F.explode(before_last).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     begins = inner.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.struct(F.substring(F.col("v"), F.lit(1), i).alias("word"), (i == F.length("v")).alias("whole")))).alias("x"))
     told = begins.groupBy("x.word").agg(F.sum(F.when(F.col("x.whole"), F.col("n")).otherwise(0)).alias("here"), F.sum(F.when(F.col("x.whole"), 0).otherwise(F.col("n"))).alias("on"))
     return ends.join(told.where((F.col("here") == 0) & (F.col("on") >= GOES_ON)), "word", "left_semi").select("_id")
@@ -291,11 +309,15 @@ def longer_copies(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text
     own = F.col("step") + 1 == F.col("of")
     shared = keyed.groupBy("step", "key").agg(F.min(F.when(own, F.col("bare_chars"))).alias("least"), F.max("bare_chars").alias("most")).where("least < most")
     wanted = cut(keyed.join(shared.select("step", "key"), ["step", "key"], "left_semi").groupBy("h").agg(F.collect_set("step").alias("steps")))  # at most 31 steps
-    texts = _texts(docs, id_col, text_col, source_col).select(F.xxhash64("text").alias("h"), _bare(F.col("text"), _dotted(F.col("text"))).alias("bare"))
-    # a text of that step comes whole, of a longer one as much as it could be the beginning of
+    top = wanted.agg(F.max(F.array_max("steps")).alias("top")).first()["top"]
+    if top is None:
+        return rows.select("_id").limit(0)
+    # a text of a step comes whole, of a longer one as much as it could be the beginning of; nothing beyond that is moved
+    bare, most = _bare(F.col("text"), _dotted(F.col("tail"))), 2 ** (top + 1)
+    texts = _texts(docs, id_col, text_col, source_col).select(F.xxhash64("text").alias("h"), F.substring(bare, 1, most).alias("bare"), F.substring(bare, F.lit(most + 1), F.length(bare)).rlike(r"[\p{L}\p{N}]").alias("beyond"))
     ends = F.transform("steps", lambda s: F.pow(F.lit(2), s + 1).cast("int"))
-    pieces = texts.join(wanted, "h").select("bare", F.explode(ends).alias("n"))
-    pieces = pieces.select(F.expr("substring(bare, 1, n)").alias("value"), F.expr("substring(bare, n + 1)").rlike(r"[\p{L}\p{N}]").alias("more"))
+    pieces = texts.join(wanted, "h").select("bare", "beyond", F.explode(ends).alias("n"))
+    pieces = pieces.select(F.expr("substring(bare, 1, n)").alias("value"), (F.col("beyond") | F.expr("substring(bare, n + 1)").rlike(r"[\p{L}\p{N}]")).alias("more"))
     begun = begun_values(pieces).select(F.xxhash64("value").alias("bh"), F.length("value").alias("bare_chars")).distinct()
     hits = rows.where("ladder is not null").join(begun, ["bh", "bare_chars"], "left_semi")
     hits = cut(hits.select("_id", "h", "end", F.size("units").alias("at"), F.try_element_at("units", F.lit(-1))["u"].alias("u")))

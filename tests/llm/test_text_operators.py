@@ -64,11 +64,27 @@ def test_encode_repeats_nulls_and_hot_words(spark):
     assert tokens.encode(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_long_frequent_words_are_spread(spark):
+    texts = {i: "-" * 90 + f" w{i}" for i in range(60)} | {100: "=" * 200, 101: "x"}
+    with open(tokens.vocabulary_path(), "rb") as f:
+        enc = tokens.make_encoding(f.read())
+    got = tokens.encode(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: enc.encode_ordinary(t) for i, t in texts.items()} and len(got) == len(texts)
+
+
+def test_fill_is_high(spark):
+    rng = __import__("random").Random(2)
+    sizes = [(i, int(rng.paretovariate(1.1) * 40)) for i in range(20_000)]
+    got = packing.fill(packing.pack(spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint"))).first()
+    assert got.fill > 0.98 and got.fullest <= packing.CAPACITY and got.units == sum(n for _, n in sizes)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=80), st.integers(1, 6))
 def test_packing_rules(sizes, open_bins):
     used = {}
-    for size, parts in zip(sizes, packing.pack_sizes(sizes, 100, open_bins)):
+    bins = packing.OpenBins(100, open_bins)
+    for size, parts in zip(sizes, [list(packing.place(bins, size)) for size in sizes]):
         assert [p[2] for p in parts] == [0, *(p[3] for p in parts[:-1])] and parts[-1][3] == size
         assert len(parts) == max(1, -(-size // 100))
         for b, at, start, stop in parts:
