@@ -297,14 +297,12 @@ def related_combos(spark: SparkSession, d: str) -> DataFrame:
     return search.related(lexicon.lexicon(spark, d), "or", affixes, combos=["qu", "in$", "(unclosed", ""], max_results=30)
 
 
-@query(
-    "derived_words",
-    f"WITH {sql.DERIV} SELECT base, count(DISTINCT word) AS n, list_sort(list(DISTINCT word)) AS words FROM deriv GROUP BY base HAVING count(DISTINCT word) > 1",
-)
+@query("derived_words", f"WITH {sql.DERIV}, d AS (SELECT DISTINCT base, word FROM deriv) SELECT base, word FROM d WHERE base IN (SELECT base FROM d GROUP BY base HAVING count(*) > 1)")
 def derived_words(spark: SparkSession, d: str) -> DataFrame:
-    """The forward adjacency; a base has as many rows here as it has words, bounded by the derivations of one base."""
-    got = lexicon.derivations(spark, d).groupBy("base").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    return got.where(F.size("words") > 1).select("base", F.size("words").cast("bigint").alias("n"), "words")
+    """The forward adjacency of the bases with several words, one row a word."""
+    each = lexicon.derivations(spark, d).select("base", "word").distinct()
+    several = each.groupBy("base").agg(F.count("*").alias("n")).where("n > 1")
+    return each.join(several.select("base"), "base", "left_semi")
 
 
 @query("duplicate_forms", "SELECT trim(trim(lower(affix), '-')) AS form, count(*) AS n FROM high_freq_affixes WHERE affix IS NOT NULL GROUP BY 1 HAVING count(*) > 1")

@@ -307,7 +307,13 @@ def boundary_scores(spark: SparkSession, d: str) -> DataFrame:
     return segment.boundary_scores(lexicon.derivations(spark, d))
 
 
-@query("scored_cuts")
+@query(
+    "scored_cuts",
+    f"WITH {sql.COUNTS}, {sql.DERIV}, c AS (SELECT word, CASE WHEN kind = 's' THEN length(word) - length(affix) ELSE length(affix) END AS seam FROM deriv WHERE regexp_full_match(word, '[a-z]{{2,}}')), "
+    "a AS (SELECT word, seam, unnest(generate_series(1, length(word) - 1)) AS i FROM c), sc AS (SELECT substr(word, i, 2) AS pair, avg((i = seam)::INT::DOUBLE) AS p FROM a GROUP BY 1), "
+    "l AS (SELECT word, unnest(generate_series(1, length(word))) AS i FROM lexc), m AS (SELECT word, i, substr(word, i, 1) || CASE WHEN p >= 0.44 THEN '.' ELSE '' END AS t FROM l LEFT JOIN sc ON pair = substr(word, i, 2) AND i < length(word)) "
+    "SELECT word, string_split(string_agg(t, '' ORDER BY i), '.') AS parts FROM m GROUP BY word",
+)
 def scored_cuts(spark: SparkSession, d: str) -> DataFrame:
     return segment.scored_cut(_words(spark, d), segment.boundary_scores(lexicon.derivations(spark, d)))
 

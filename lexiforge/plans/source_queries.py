@@ -113,18 +113,19 @@ def affix_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("split_columns", f"WITH {sql.DERIV} SELECT word, base, affix, kind AS affix_type FROM deriv")
 def split_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Derivations as documents of four parallel arrays, one a base, read back as a table."""
+    """Derivations as documents of four parallel arrays of a thousand entries at most, read back as a table."""
     at = _place(spark)
-    packed = lexicon.derivations(spark, d).groupBy("base").agg(F.collect_list(F.struct("word", "affix", "kind")).alias("x"))
+    packed = lexicon.derivations(spark, d).groupBy("base", F.floor(F.col("ord") / 1000).alias("part")).agg(F.collect_list(F.struct("word", "affix", "kind")).alias("x"))
     packed.select(F.col("x.word").alias("w"), F.transform("x", lambda r: F.col("base")).alias("b"), F.col("x.affix").alias("a"), F.col("x.kind").alias("t")).write.json(at)
     return files.read_split_columns(spark, at, multi_line=False).drop("ord")
 
 
 @query("reverse_projection", f"WITH {sql.DERIV} SELECT DISTINCT word, base, affix, kind AS t FROM deriv QUALIFY row_number() OVER (PARTITION BY base, word ORDER BY ord) = 1")
 def reverse_projection(spark: SparkSession, d: str) -> DataFrame:
+    """A base has several documents, of its words of one thousand entries each."""
     t = lexicon.derivations(spark, d)
-    first = t.groupBy("base", "word").agg(F.min_by(F.struct("affix", F.when(F.col("kind") == "s", "suffix").otherwise("prefix").alias("affix_type")), "ord").alias("x"))
-    nested = first.groupBy("base").agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("derives_to"))
+    first = t.groupBy("base", "word").agg(F.min_by(F.struct("affix", F.when(F.col("kind") == "s", "suffix").otherwise("prefix").alias("affix_type")), "ord").alias("x"), F.floor(F.min("ord") / 1000).alias("part"))
+    nested = first.groupBy("base", "part").agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("derives_to"))
     return files.reverse_projection(nested)
 
 

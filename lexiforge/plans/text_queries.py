@@ -287,14 +287,18 @@ def formatted_parts(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("group_id", strings.format_parts(F.transform("ps", lambda x: x["p"])).alias("shown"))
 
 
-@query("resource_paths")
+@query("resource_paths", f"""SELECT doc_id, '<link rel=''stylesheet'' href="/static/x.css"><img src="/static/p/' || lower(headword) || '.png"><script src=''/static/a.js''></script>' || text AS html {_ENTRIES}""")
 def resource_paths(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(F.lit("<link rel='stylesheet' href='x.css'><img src=\"p/"), F.lower("headword"), F.lit(".png\"><script src='/static/a.js'></script>"), "text")
     t = load(spark, d, "documents", "doc_id", "headword", "text").where(F.col("text").startswith('<div class="gdc">'))
     return t.select("doc_id", markup.fix_resource_paths(html).alias("html"))
 
 
-@query("styled_text")
+@query(
+    "styled_text",
+    "SELECT entry_id, '<b>' || rtrim(base, ' ' || chr(9) || chr(10) || chr(13)) || '</b>' || chr(13) || chr(10) || '<i>' || CASE WHEN ends_with(meaning, chr(10)) THEN regexp_replace(meaning, '\\s+$', '') || '</i>' || chr(13) || chr(10) ELSE meaning || '</i>' END AS text "
+    "FROM roots WHERE base IS NOT NULL AND meaning IS NOT NULL",
+)
 def styled_text(spark: SparkSession, d: str) -> DataFrame:
     styles = F.create_map(F.lit("1"), F.struct(F.lit("<b>").alias("open"), F.lit("</b>").alias("close")), F.lit("2"), F.struct(F.lit("<i>").alias("open"), F.lit("</i>").alias("close")))
     t = load(spark, d, "roots", "entry_id", "base", "meaning").dropna()
