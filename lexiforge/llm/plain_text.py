@@ -36,8 +36,10 @@ CYRILLIC |= {"Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I"}
 GREEK = {"ο": "o", "ν": "v", "ρ": "p", "α": "a", "ι": "i", "υ": "u", "ϳ": "j", "ϲ": "c"}
 GREEK |= {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X"}
 ARMENIAN = {"օ": "o", "ս": "u", "հ": "h", "ո": "n"}
+COPTIC = {"Ⲃ": "B", "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c"}
+CHEROKEE = {"Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮤ": "W", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B", "Ꮒ": "h", "Ꮟ": "b"}
 PHONETIC = {"ɡ": "g", "ɑ": "a", "ı": "i"}
-LOOK_ALIKES = CYRILLIC | GREEK | ARMENIAN | PHONETIC
+LOOK_ALIKES = CYRILLIC | GREEK | ARMENIAN | COPTIC | CHEROKEE | PHONETIC
 SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN", "COPTIC", "CHEROKEE")
 
 # Characters that show nothing, or a blank, though their category does not say so.

@@ -14,6 +14,7 @@ from lexiforge.runtime import cut
     [
         ("to ѕteр", "to step"), ("еуе cf. лээя\t表示数", "eye cf. лээя\t表示数"), ("ｗａ­r；　x", "war; x"), ("é a​́", "é á"),
         ("toɡеtһer", "together"), ("ψήγάπή", "ψήγάπή"), ("“x”、•  y\n", "“x”、•  y\n"), ("​", ""), ("⼩ ﬁn", "小 fin"), ("ο и дом", "ο и дом"), ("", ""), (None, None),
+        ("ꮪtone ⲟld Ꭼgg", "ꮪtone old Egg"), ("ᎠᎢᎺ and ⲁⲟⲣ", "ᎠᎢᎺ and ⲁⲟⲣ"),
     ],
 )
 def test_plain(text, want):
