@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import strings
 from lexiforge.operators import affixes, lexicon, notes, segment, wordforms
-from lexiforge.plans import sql
+from lexiforge.plans import core_queries, sql
 from lexiforge.runtime import load, once
 
 QUERIES: dict = {}
@@ -223,7 +223,22 @@ def form_index_of(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, "form-index", [f"{d}/{t}.parquet" for t in ("roots", "affixes", "anki_highfreq")], make)
 
 
-@query("root_form_index")
+_FREQUENT = (
+    "fa AS (SELECT trim(trim(lower(affix), '-')) AS form, coalesce(cnt, 0) AS n, CASE WHEN merged_count > 0 THEN merged_count ELSE coalesce(cnt, 0) END AS m, affix_type FROM anki_highfreq), "
+    "ff AS (SELECT form, max(n)::BIGINT AS freq, max(m)::BIGINT AS merged, coalesce(list_sort(list(DISTINCT affix_type) FILTER (WHERE affix_type <> '')), []) AS kinds FROM fa WHERE length(form) >= 2 GROUP BY form)"
+)
+
+
+_INDEXED = (
+    f"{core_queries.FORMS_SQL}, rf AS (SELECT lower(form) AS form, list_sort(list_distinct(ps)) AS pos, opt = 1 AS opt, CASE WHEN ety_meaning <> '' THEN 'dict' ELSE 'affix' END AS src FROM nd JOIN roots ON nd.entry_id = roots.entry_id "
+    "UNION ALL SELECT trim(trim(lower(roots), '-')), CASE WHEN trim(roots) LIKE '-%' AND trim(roots) LIKE '%-' THEN ['root'] WHEN trim(roots) LIKE '-%' THEN ['suffix'] WHEN trim(roots) LIKE '%-' THEN ['prefix'] ELSE [] END, FALSE, 'affix' FROM affixes)"
+)
+
+
+@query(
+    "root_form_index",
+    f"{_INDEXED}, {_FREQUENT} SELECT form, n, freq, merged, kinds FROM (SELECT form, count(*)::INT AS n FROM (SELECT DISTINCT form, pos, opt, src FROM rf WHERE length(form) >= 2) GROUP BY form) LEFT JOIN ff USING (form)",
+)
 def root_form_index(spark: SparkSession, d: str) -> DataFrame:
     return form_index_of(spark, d).select("form", F.size("interps").alias("n"), "freq", "merged", "kinds")
 
@@ -289,7 +304,15 @@ def two_strategy_words(spark: SparkSession, d: str) -> DataFrame:
     return _per_word(spark, d, run, "strategy string, parts array<string>, score double")
 
 
-@query("greedy_words")
+@query(
+    "greedy_words",
+    f"{_INDEXED}, {sql.COUNTS}, kf AS (SELECT DISTINCT form FROM rf WHERE length(form) >= 2), "
+    "oc AS (SELECT word, form, unnest(list_filter(generate_series(1, length(word) - length(form) + 1), lambda i: substr(word, i, length(form)) = form)) AS i FROM lexc JOIN kf ON contains(word, form)), "
+    "hb AS (SELECT word, i, arg_max(form, length(form)) AS f, arg_max(form, length(form)) FILTER (WHERE length(form) > 2) AS g FROM oc GROUP BY word, i), "
+    "gw(word, i, after, parts) AS (SELECT word, 1, TRUE, []::VARCHAR[] FROM lexc UNION ALL SELECT w.word, CASE WHEN h IS NULL THEN i + 1 ELSE i + length(h) END, h IS NOT NULL, "
+    "CASE WHEN h IS NOT NULL THEN list_append(parts, h) WHEN len(parts) > 0 AND parts[len(parts)][1] = '[' THEN list_append(parts[:len(parts) - 1], parts[len(parts)][:-2] || substr(w.word, i, 1) || ']') ELSE list_append(parts, '[' || substr(w.word, i, 1) || ']') END "
+    "FROM (SELECT gw.*, CASE WHEN after THEN f ELSE g END AS h FROM gw LEFT JOIN hb ON gw.word = hb.word AND gw.i = hb.i WHERE gw.i <= length(gw.word)) w) SELECT word, parts FROM gw WHERE i > length(word)",
+)
 def greedy_words(spark: SparkSession, d: str) -> DataFrame:
     def run(words: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([segment.greedy(w, list(h) if h is not None else None) for w, h in zip(words, found)])
