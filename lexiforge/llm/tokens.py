@@ -62,10 +62,14 @@ def pre_tokens(text: Column) -> Column:
 
 
 def explode_pre_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _h, pos, word``, one row for each pre-token; ``_h`` tells texts under one id apart. A null or empty text has one row without ``pos``."""
+    """``_id, _h, pos, word``, one row for each pre-token; ``_h`` tells texts under one id apart."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    which = F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.lit(0))
-    return rows.select("_id", which.alias("_h"), F.posexplode_outer(pre_tokens(F.col("text"))).alias("pos", "word"))
+    return rows.select("_id", F.xxhash64("text").alias("_h"), F.posexplode(pre_tokens(F.col("text"))).alias("pos", "word"))
+
+
+def _bare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The ids of null and empty texts."""
+    return docs.where(F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) == 0).select(F.col(id_col).alias(id_col)).distinct()
 
 
 def word_encoder(spark: SparkSession, path: str | None = None):
@@ -94,7 +98,7 @@ def word_table(docs: DataFrame, text_col: str = "text", path: str | None = None)
 
 
 def _with_ids(each: DataFrame, words: DataFrame, value: Column) -> DataFrame:
-    """``_id, _h, pos, v`` for each pre-token, with ``value`` of its row of the word table, and a row of nulls for each text without any."""
+    """``_id, _h, pos, v`` for each pre-token, with ``value`` of its row of the word table."""
     total = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()["n"]
     least = max(1, -(-total // HEAVY_WORDS))
     often, short = F.col("cnt") >= least, F.length("word") <= HEAVY_CHARS
@@ -103,8 +107,8 @@ def _with_ids(each: DataFrame, words: DataFrame, value: Column) -> DataFrame:
     long = every.where("often and not short").select("k")  # no more than HEAVY_WORDS hashes
     light = every.where("not (often and short)")
     out = ["_id", "_h", "pos", "v"]
-    parts = each.join(F.broadcast(heavy), "word", "left").where("v is not null or word is null").select(*out)
-    rest = each.where("word is not null").join(F.broadcast(heavy.select("word")), "word", "left_anti")
+    parts = each.join(F.broadcast(heavy), "word").select(*out)
+    rest = each.join(F.broadcast(heavy.select("word")), "word", "left_anti")
     if long.isEmpty():
         return parts.unionByName(rest.join(light.select("word", "v").hint("shuffle_hash"), "word").select(*out))
     few = F.broadcast(long.distinct())
@@ -119,18 +123,20 @@ def _with_ids(each: DataFrame, words: DataFrame, value: Column) -> DataFrame:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, ids`` of every document, without special tokens."""
     parts = _with_ids(explode_pre_tokens(docs, id_col, text_col), word_table(docs, text_col, path), F.col("ids"))
-    whole = parts.groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "v")))).alias("parts"))
+    whole = parts.groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("parts"))
     once = F.filter("parts", lambda p, i: (i == 0) | (F.col("parts")[i - 1]["pos"] < p["pos"]))
-    repeats = F.size("parts") > F.try_element_at("parts", F.lit(-1))["pos"] + 1
+    repeats = F.size("parts") > F.element_at("parts", -1)["pos"] + 1
     whole = whole.select("_id", F.when(repeats, once).otherwise(F.col("parts")).alias("parts"))
-    return whole.select(F.col("_id").alias(id_col), F.flatten(F.transform("parts", lambda p: p["v"])).alias("ids"))
+    whole = whole.select(F.col("_id").alias(id_col), F.flatten(F.transform("parts", lambda p: p["v"])).alias("ids"))
+    return whole.unionByName(_bare(docs, id_col, text_col).withColumn("ids", F.array().cast("array<int>")))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens``: as ``size(encode(...).ids)``, but only numbers are moved and they are summed before the shuffle."""
     parts = _with_ids(explode_pre_tokens(docs, id_col, text_col), word_table(docs, text_col, path), F.size("ids"))
     counted = parts.groupBy("_id", "_h").agg(F.sum("v").alias("n"), F.sum((F.col("pos") == 0).cast("int")).alias("copies"))
-    return counted.select(F.col("_id").alias(id_col), F.coalesce(F.expr("n div copies"), F.lit(0)).alias("n_tokens"))
+    counted = counted.select(F.col("_id").alias(id_col), F.expr("n div copies").alias("n_tokens"))
+    return counted.unionByName(_bare(docs, id_col, text_col).withColumn("n_tokens", F.lit(0).cast("bigint")))
 
 
 def token_table(spark: SparkSession, path: str | None = None) -> DataFrame:
