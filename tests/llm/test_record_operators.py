@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import strings
-from lexiforge.llm import families, fusion, matching
+from lexiforge.llm import families, fusion, matching, queries
 
 
 def brute(edges):
@@ -107,6 +107,37 @@ def test_fields_are_chosen_one_by_one(spark):
     assert {r.k.k0: (r.row_id, r.src) for r in fused(spark, rows, order=("latest",)).collect()}["b"] == (4, "Corpus ")
 
 
+def test_survivors_are_those_of_the_fusion(spark):
+    rng = random.Random(3)
+    texts, sources = ["go", "to go", "be", " ", "n/a", None, "x; y", "y, x"], ["manual", "Roots ", "corpus", "zz", "", None]
+    rows = [(rng.choice([None, *range(90)]), rng.choice("abcdefghijkl"), rng.choice(["x", None]), rng.choice(texts), rng.choice(sources), at(rng.choice([None, 1, 2]))) for _ in range(160)]
+    df = spark.createDataFrame(rows, "id bigint, form string, kind string, text string, src string, at timestamp")
+    args = (df, [F.col("form"), F.col("kind")], "id", "text", "src", "at")
+    for order in (fusion.ORDER, ("first",), ("latest", "first"), ("trust",), ()):
+        got, want = (sorted(map(str, f(*args, order=order).select("k", "n", "row_id").collect())) for f in (fusion.survivors, fusion.fuse))
+        assert got == want and len(got) > 10
+
+
+def test_survivors_estimate_only_what_can_decide(spark, monkeypatch, tmp_path):
+    rows = [(1, "-a", "x", "one", "zz", at(1)), (2, "A", "x", "two", "roots", at(1)), (3, "a", "x", "three", "roots", at(2)), (4, "b", "x", "n/a", "manual", at(9)), (5, "b", "x", "go", None, None), (6, "c", "x", "be", None, None)]
+    for name, cols in (("allomorph_groups", ("group_id", "canonical", "pos", "gloss")), ("anki_highfreq", ("anki_id", "affix", "affix_type", "meaning"))):
+        schema = "{} bigint, {} string, {} string, {} string, gloss_src string, updated_at timestamp".format(*cols)
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    asked = []
+    monkeypatch.setattr(fusion, "estimate", lambda p: (asked.append(p), ({"roots": 0.9, "unknown": 0.1}, {}))[1])
+    got = sorted(map(tuple, queries.p2_found(spark, str(tmp_path)).collect()))
+    assert got == [(t, i) for t in ("allomorph_groups", "anki_highfreq") for i in (3, 5)] and not asked
+    p = {(r.tbl, r.row_id): r.p for r in queries.p2_fused(spark, str(tmp_path)).collect()}
+    assert sorted(p) == got and len(asked) == 2
+    monkeypatch.setattr(fusion, "estimate", lambda p: ({"roots": 0.2, "unknown": 0.9}, {}))
+    assert all(r.p < p[r.tbl, r.row_id] for r in queries.p2_fused(spark, str(tmp_path)).where("form = 'a'").collect())
+    df = spark.createDataFrame(rows, "id bigint, form string, kind string, text string, src string, at timestamp")
+    for sure, want in (("zz", 1), ("roots", 3)):
+        monkeypatch.setattr(fusion, "estimate", lambda p, sure=sure: ({"zz": 0.1, "roots": 0.1, sure: 0.9}, {}))
+        out = fusion.survivors(df, [strings.bare_form(F.col("form"))], "id", "text", "src", "at", trust=(), order=()).collect()
+        assert {r.k.k0: r.row_id for r in out} == {"a": want, "b": 5}, "votes decide what the order leaves level"
+
+
 def test_mixture_separates_and_takes_missing_values():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal([1, 0.9], 0.05, (300, 2)), rng.normal([0.9, 0.1], 0.05, (200, 2)), [[1.0, np.nan]]])
